@@ -62,20 +62,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mixture as rows of documents: each document as often as it is taken whole, and its first words for a fraction.
 
-    Rows are joined to their plan by doc_id and a hash of the text; equal rows share one plan row each.
+    Rows are joined to their plan by a hash of doc_id, source and text. Equal rows share what they take alike; the few
+    words that do not divide among them are left out. Columns other than text and n_chars stay as they are.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("_key", key)
-    planned = plan(keyed, extra=("_key",), **options).groupBy("_key").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
-    rows = keyed.join(planned, "_key").filter("_taken > 0")
-    # Equal rows: the sum of what they take is dealt to them alike, and the remainder to none of them twice.
-    rank = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))) - 1
-    rows = rows.withColumn("_rank", F.when(F.col("_rows") > 1, rank).otherwise(F.lit(0)))
-    mine = F.expr("least(greatest(_taken - _rank * ((_taken + _rows - 1) div _rows), 0), (_taken + _rows - 1) div _rows)")
-    rows = rows.withColumn("_mine", mine)
+    planned = plan(keyed, extra=("_key",), **options).groupBy("_key").agg(F.max("size").alias("_size"), F.expr("sum(taken) div count(1)").alias("_mine"))
+    rows = keyed.join(planned.filter("_mine > 0"), "_key")
     copies = F.expr("(_mine + _size - 1) div _size")
-    rows = rows.filter("_mine > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     words = F.expr("least(_mine - (_copy - 1) * _size, _size)")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), 1, words.cast("int")), "")
     text = F.when(words == F.col("_size"), F.col("text")).otherwise(head)
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = rows.withColumn("text", text)
+    return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows).select(*docs.columns)
