@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing, packing, quality_rules, toxicity, url_filters
+from corpusmill.llm import fingerprints, mixing, packing, quality_rules, toxicity, url_filters
 from corpusmill.llm.common import table
 from corpusmill.llm.oracles import ORACLES
 
@@ -17,6 +17,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, url_filters.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
