@@ -45,7 +45,7 @@ def fingerprint(text: Column, k: int = K, n_least: int = L, bins: int = BINS) ->
         return _let(whole, of_kmers)
 
     def of_kmers(kmers: Column) -> Column:
-        packed = F.array_sort(F.transform(kmers, lambda h, i: F.shiftleft(F.pmod(h, F.lit(top)), POS).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low)))))
+        packed = F.sort_array(F.transform(kmers, lambda h, i: F.shiftleft(F.pmod(h, F.lit(top)), POS).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low)))))
         return _let(packed, lambda p: numbered(kmers, p))
 
     def numbered(kmers: Column, p: Column) -> Column:
@@ -56,7 +56,7 @@ def fingerprint(text: Column, k: int = K, n_least: int = L, bins: int = BINS) ->
         again = lambda st: F.transform(rest, lambda i, d: draw(F.get(p, i), (i - F.get(st, i - d - 1)).cast("long")))
         draw = lambda x, n: F.shiftleft(F.pmod(F.xxhash64(F.shiftright(x, POS), n), F.lit(top)), POS).bitwiseOR(x.bitwiseAND(F.lit(low)))
         first = lambda st: F.transform(st, lambda i: draw(F.get(p, i), F.lit(0).cast("long")))
-        return _let(F.array_sort(_let(starts, lambda st: F.concat(first(st), again(st)))), lambda o: chosen(kmers, o))
+        return _let(F.sort_array(_let(starts, lambda st: F.concat(first(st), again(st)))), lambda o: chosen(kmers, o))
 
     part = lambda x: F.floor(F.shiftright(x, POS) / F.lit(top / bins)).cast("int")
 
@@ -66,7 +66,7 @@ def fingerprint(text: Column, k: int = K, n_least: int = L, bins: int = BINS) ->
 
     def entry(kmers: Column, c: Column, x: Column, i: Column) -> Column:
         mine = F.filter(F.slice(c, i + 1, n_least), lambda y: part(y) == part(x))
-        ordered = F.array_sort(F.transform(mine, lambda y: y.bitwiseAND(F.lit(low))))
+        ordered = F.sort_array(F.transform(mine, lambda y: y.bitwiseAND(F.lit(low))))
         tuple_hash = F.xxhash64(F.transform(ordered, lambda at: F.get(kmers, at.cast("int"))))
         new = (i == 0) | (part(F.get(c, F.greatest(i - 1, F.lit(0)))) != part(x))
         return F.when(new, F.concat(F.lpad(F.hex(part(x)), 2, "0"), F.lit(":"), F.lower(F.substring(F.lpad(F.hex(tuple_hash), 16, "0"), 9, 8))))
