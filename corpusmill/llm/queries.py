@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, mixing, packing, quality_rules, toxicity, url_filters
+from corpusmill.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, toxicity, url_filters
 from corpusmill.llm.common import table
 from corpusmill.llm.oracles import ORACLES
 
@@ -41,6 +41,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
