@@ -10,6 +10,25 @@ best AS (SELECT n, max_by(r.host || r.path, (length(r.host || r.path), length(r.
 SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM p LEFT JOIN best USING (n)
 """
 
+OP3 = r"""
+WITH l AS (SELECT d.doc_id, d.n AS row_id, u.i, d.lines[u.i] AS line,
+                  list_transform(list_filter(string_split_regex(d.lines[u.i], '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
+           FROM (SELECT doc_id, row_number() OVER () AS n, string_split(text, chr(10)) AS lines FROM documents) d, unnest(range(1, len(d.lines) + 1)) AS u(i)),
+dl AS (SELECT w, len(w) AS n, w[1:3] AS lead, count(DISTINCT row_id) AS docs, min(doc_id) AS owner FROM l WHERE len(w) > 0 GROUP BY w),
+leaf AS (SELECT n, lead FROM dl GROUP BY n, lead HAVING sum(docs) >= 5),
+c AS (SELECT dl.* FROM dl JOIN leaf USING (n, lead)),
+tok AS (SELECT c.n, c.lead, u.i AS pos, c.w[u.i] AS word, c.docs FROM c, unnest(range(1, c.n + 1)) AS u(i)),
+st AS (SELECT n, lead, pos, word FROM tok GROUP BY ALL HAVING sum(docs) >= 5),
+sh AS (SELECT c.w, c.n, c.lead, c.docs, c.owner, count(*) AS constant, list((st.pos, st.word) ORDER BY st.pos) AS template
+       FROM c, unnest(range(1, c.n + 1)) AS u(i), st WHERE st.n = c.n AND st.lead = c.lead AND st.pos = u.i AND st.word = c.w[u.i] GROUP BY c.w, c.n, c.lead, c.docs, c.owner),
+ok AS (SELECT * FROM sh WHERE constant * 1000 >= n * 700),
+rec AS (SELECT n, lead, template, min(owner) AS keeper FROM ok GROUP BY n, lead, template HAVING sum(docs) >= 5),
+gone AS (SELECT ok.w, rec.keeper FROM ok JOIN rec USING (n, lead, template)),
+m AS (SELECT l.*, gone.w IS NOT NULL AND l.doc_id <> gone.keeper AS dropped FROM l LEFT JOIN gone ON l.w = gone.w)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_md5
+FROM m GROUP BY row_id, doc_id
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, left(md5('17:' || doc_id::VARCHAR), 16) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -26,4 +45,4 @@ r AS (SELECT d.*, f.source_size, f.target, round(f.target)::BIGINT AS goal, grea
 SELECT doc_id, size, source_size, target, (goal // n * size + greatest(0, least(size, goal % n - used)))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op1_url_filters": OP1, "op7_mixing": OP7}
+ORACLES = {"op1_url_filters": OP1, "op3_line_dedup": OP3, "op7_mixing": OP7}

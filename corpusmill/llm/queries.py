@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, toxicity, url_filters
+from corpusmill.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, toxicity, url_filters
 from corpusmill.llm.common import table
 from corpusmill.llm.oracles import ORACLES
 
@@ -25,6 +25,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
