@@ -29,6 +29,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM m GROUP BY row_id, doc_id
 """
 
+OP5 = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+raw AS (SELECT m.*, u.i, length(regexp_replace(regexp_extract(lines[u.i], '^[\x20\x09]*(?:>[\x20\x09]*)+'), '[^>]', '', 'g')) AS lv, regexp_replace(lines[u.i], '^[\x20\x09]*(?:>[\x20\x09]*)+', '') AS body
+        FROM m, unnest(range(1, len(lines) + 1)) AS u(i)),
+l AS (SELECT conv_id, turn, role, n, i, body, CASE WHEN lead(lv) OVER (PARTITION BY n ORDER BY i) > lv AND regexp_matches(body, '(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$') THEN -1 ELSE lv END AS level FROM raw),
+p AS (SELECT DISTINCT conv_id, turn, level, passage FROM (
+        SELECT conv_id, turn, n, level, lower(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'))) AS passage FROM l WHERE level >= 0
+        UNION SELECT conv_id, turn, n, level, lower(trim(regexp_replace(string_agg(body, chr(10) ORDER BY i), '[\x20\x09-\x0D]+', ' ', 'g'))) FROM l WHERE level >= 0 GROUP BY ALL) WHERE passage <> ''),
+o AS (SELECT conv_id, passage, min(turn) AS parent FROM p WHERE level = 0 GROUP BY ALL),
+h AS (SELECT p.conv_id, p.turn, level, parent, sum(length(passage)) AS size FROM p JOIN o USING (conv_id, passage) WHERE level > 0 AND parent < p.turn GROUP BY ALL),
+b AS (SELECT conv_id, turn, max_by(parent, (-level, size, parent)) AS parent_turn FROM h GROUP BY ALL),
+t AS (SELECT conv_id, turn, parent_turn, parent_turn AS root, 1 AS depth FROM b UNION ALL SELECT t.conv_id, t.turn, t.parent_turn, b.parent_turn, depth + 1 FROM t JOIN b ON b.conv_id = t.conv_id AND b.turn = t.root),
+top AS (SELECT conv_id, turn, any_value(parent_turn) AS parent_turn, max_by(root, depth) AS root, max(depth) AS depth FROM t GROUP BY ALL),
+c AS (SELECT n, count(*) FILTER (WHERE level <> 0) AS n_quoted, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS own FROM l GROUP BY n)
+SELECT m.conv_id, m.turn, m.role, top.parent_turn, coalesce(top.root, m.turn) AS root_turn, coalesce(top.depth, 0)::BIGINT AS depth, c.n_quoted,
+       regexp_replace(c.own, '^(?:[\x20\x09\x0B-\x0D]*\n)+|(?:\n[\x20\x09\x0B-\x0D]*)+$', '', 'g') AS clean_text
+FROM m JOIN c USING (n) LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, left(md5('17:' || doc_id::VARCHAR), 16) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -45,4 +64,4 @@ r AS (SELECT d.*, f.source_size, f.target, round(f.target)::BIGINT AS goal, grea
 SELECT doc_id, size, source_size, target, (goal // n * size + greatest(0, least(size, goal % n - used)))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op1_url_filters": OP1, "op3_line_dedup": OP3, "op7_mixing": OP7}
+ORACLES = {"op1_url_filters": OP1, "op3_line_dedup": OP3, "op5_chat_quotes": OP5, "op7_mixing": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, toxicity, url_filters
+from corpusmill.llm import chat_quotes, fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, toxicity, url_filters
 from corpusmill.llm.common import table
 from corpusmill.llm.oracles import ORACLES
 
@@ -17,6 +17,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, url_filters.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat_quotes.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return done.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "n_quoted", "clean_text")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
