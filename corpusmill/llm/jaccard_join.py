@@ -225,12 +225,13 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = D
     return members, found
 
 
+def groups(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with group: the least node that links reach, for each document."""
+    return members.join(components(found).toDF("node", "_of"), "node", "left").select("*", F.coalesce("_of", "node").alias("group")).drop("_of")
+
+
 def linked(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the least doc_id that links reach, itself included (null if none has one)."""
-    members, found = join(docs, **options)
-    of = components(found)
-    rows = members.join(of.toDF("node", "_of"), "node", "left")
-    rows = rows.withColumn("_of", F.coalesce("_of", "node"))
-    least = rows.filter("n_shingles > 0").groupBy("_of").agg(F.min("doc_id").alias("_least"))
-    rows = rows.join(least, "_of", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = groups(*join(docs, **options))
+    least = rows.filter("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("_least"))
+    return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
