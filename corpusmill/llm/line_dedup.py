@@ -6,8 +6,8 @@ documents have it there, else the place is a variable field; lines with the same
 whose constants make up SHARE of its words and that MIN_DOCS documents have is dropped from all but the first of them (the least doc_id),
 so that what recurs is kept once.
 
-A document counts a line once; what is shuffled is distinct masked lines, combined before the shuffle, so a line that a third of
-all documents have is one row a task. Words are exploded only for leaves that MIN_DOCS documents reach.
+A document counts a line once. Leaves that MIN_DOCS documents reach are found from hashes; only their lines are then shuffled, distinct
+and combined before, so a line that a third of all documents have is one row a task, and only their words are exploded.
 """
 
 from __future__ import annotations
@@ -20,29 +20,52 @@ from corpusmill.llm.common import written
 LEADING, MIN_DOCS, SHARE = 3, 5, 0.7
 #: The id that rows without a doc_id count as.
 NO_ID = (1 << 63) - 1
+#: Leaves that are sent to all tasks, 8 bytes each; more are joined by shuffle.
+BROADCAST_LEAVES = 500_000
 
 
 def masked_lines(text: Column) -> Column:
     r"""One string a \n-split line: its words, masked, joined by single spaces ('' for a blank line)."""
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")).otherwise(text)
-    plain = F.when(masked.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(masked)
-    return F.transform(F.split(plain, "\n", -1), F.trim)
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\x0b", "\x0c"):  # plain searches, many times cheaper than a pattern over every text
+        odd |= text.contains(F.lit(gap))
+    plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x)
+    return F.transform(F.split(plain, "\n", -1), lambda x: mask(F.trim(x)))
 
 
 def _leaf(line: Column, leading: int) -> Column:
-    return F.xxhash64(F.length(line) - F.length(F.translate(line, " ", "")), F.substring_index(line, " ", leading))
+    return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", leading))
 
 
-def templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def _places(docs: DataFrame, leading: int) -> DataFrame:
+    """(_key, id, leaf, line_id) of every masked line of every row, each once a row; a written table of numbers."""
+    line = F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")
+    rows = docs.select(_key().alias("_key"), _id().alias("id"), line).filter("line <> ''")
+    return written(rows.select("_key", "id", _leaf(F.col("line"), leading).alias("leaf"), F.xxhash64("line").alias("line_id")))
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _key() -> Column:
+    return F.xxhash64(_id(), F.coalesce("text", F.lit("")))
+
+
+def templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, share: float = SHARE, places: DataFrame | None = None) -> DataFrame:
     """(leaf, line_id, owner) of every masked line whose template is dropped, with the document that keeps it.
 
     docs (doc_id, text): null and blank texts have no lines. Rows count as documents, repeated rows too.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).filter("line <> ''")
-    lines = rows.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("owner")).withColumn("leaf", _leaf(F.col("line"), leading))
-    # The least and the greatest owner also keep out what one document alone has; both branches read one shuffle of lines.
-    leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("n"), F.min("owner").alias("_o")).filter(F.col("n") >= min_docs).select("leaf")
-    found = written(lines.join(leaves, "leaf").select("leaf", F.xxhash64("line").alias("line_id"), F.split("line", " ").alias("words"), "docs", "owner"))
+    places = _places(docs, leading) if places is None else places
+    leaves = written(places.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    line = F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")
+    rows = docs.select(_id().alias("id"), line).filter("line <> ''").withColumn("leaf", _leaf(F.col("line"), leading))
+    # Texts of lines are wanted for these leaves alone: sent to all tasks while few, joined by shuffle beyond.
+    rows = rows.join(F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves, "leaf", "left_semi")
+    lines = rows.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("owner"))
+    found = written(lines.select("leaf", F.xxhash64("line").alias("line_id"), F.split("line", " ").alias("words"), "docs", "owner"))
     words = found.select("leaf", "line_id", "docs", "owner", F.size("words").alias("n"), F.posexplode(F.transform("words", lambda w: F.xxhash64(w))).alias("at", "word"))
     stable = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("_n")).filter(F.col("_n") >= min_docs).select("leaf", "at", "word")
     shape = words.join(stable, ["leaf", "at", "word"]).groupBy("leaf", "line_id", "docs", "owner", "n").agg(F.count(F.lit(1)).alias("constant"), F.bit_xor(F.xxhash64("at", "word")).alias("template"))
@@ -57,19 +80,15 @@ def dedup(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, sha
     Blank lines stay. A null text stays null with no lines. Rows of one doc_id and text get the same treatment.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit(""))))
-    drops = templates(docs, leading, min_docs, share)
-    rows = keyed.select("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).filter("line <> ''")
-    hits = rows.select("_key", "id", _leaf(F.col("line"), leading).alias("leaf"), F.xxhash64("line").alias("line_id")).join(drops, ["leaf", "line_id"]).filter("id <> owner")
-    # At most the lines of one document.
-    hits = hits.groupBy("_key").agg(F.collect_set("line_id").alias("_drop"))
+    places = _places(docs, leading)
+    hits = places.join(templates(docs, leading, min_docs, share, places), ["leaf", "line_id"]).filter("id <> owner")
+    hits = hits.groupBy("_key").agg(F.collect_set("line_id").alias("_drop"))  # at most the lines of one document
     lines = F.split("text", "\n", -1)
-    some = keyed.join(hits, "_key", "left")
     marked = F.transform(masked_lines(F.col("text")), lambda x: F.array_contains("_drop", F.xxhash64(x)) & (x != ""))
-    some = some.withColumn("_gone", F.when(F.col("_drop").isNotNull(), marked))
-    left = F.filter(lines, lambda x, i: ~F.get("_gone", i))
-    return some.select(
-        *(F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept),
+    rows = docs.withColumn("_key", _key()).join(hits, "_key", "left").withColumn("_gone", F.when(F.col("_drop").isNotNull(), marked))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.get("_gone", i)), "\n")
+    return rows.select(
+        *(F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda g: g))).cast("long").alias("n_dropped"),
     )
