@@ -25,7 +25,7 @@ from corpusmill.llm.common import written
 
 LEAST, SEED = 200, 32
 #: Bytes of distinct items that one block may hold; bytes that a task sorts at once.
-BLOCK, CHUNK = 16_000_000, 2_000_000
+BLOCK, CHUNK = 2_000_000, 1_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(2**24 - 1)
@@ -84,16 +84,38 @@ def _common(a: bytes, b: bytes, known: int) -> int:
     return lo
 
 
-def repeat_groups(items: list[bytes], times: list[int], least: int = LEAST) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(item, offset), ...]) of every maximal repeat group of distinct items: at least `least` bytes long, with all its
-    occurrences. times: how often each item is there; the start of an item counts as unlike any other left neighbour."""
+def _interval_tree(suffixes: list[bytes], before: list[int], least: int) -> Iterator[tuple[int, list[int]]]:
+    """(length, suffixes) of the left-diverse intervals of a common-prefix interval tree, by a stack scan over the suffix
+    array of `suffixes`; before: their left neighbours."""
+    array = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    prefix = [0, *(_common(suffixes[a], suffixes[b], least) for a, b in zip(array, array[1:], strict=False)), 0]
+    breaks = [0]  # how often the left neighbour changes, up to each place
+    for a, b in zip(array, array[1:], strict=False):
+        breaks.append(breaks[-1] + (before[a] != before[b]))
+    stack: list[tuple[int, int]] = []  # (common prefix, first place) of the open intervals
+    for i in range(1, len(array) + 1):
+        lcp, low = prefix[i], i - 1
+        while stack and stack[-1][0] > lcp:
+            length, low = stack.pop()
+            if breaks[i - 1] > breaks[low]:
+                yield length, array[low:i]
+        if lcp >= least and (not stack or stack[-1][0] < lcp):
+            stack.append((lcp, low))
+
+
+def repeat_groups(items: list[bytes], times: list[int], least: int = LEAST) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of every maximal repeat group of distinct items: at least `least` bytes long, with all its occurrences, as
+    places in the items put end to end. times: how often each item is there; an item's start counts as unlike any other left neighbour.
+
+    Suffixes that share their first `least` bytes stand together in the suffix array, so it is built class by class of those.
+    """
     sizes = np.array([len(x) for x in items])
     text = np.frombuffer(b"".join(items), np.uint8)
     ends = np.cumsum(sizes)
     begin = ends - sizes
     for i, n in enumerate(times):
         if n > 1 and sizes[i] >= least:
-            yield int(sizes[i]), [(i, 0)]
+            yield int(sizes[i]), begin[i : i + 1]
     counts = np.maximum(sizes - least + 1, 0)
     if counts.sum() < 2:
         return
@@ -101,36 +123,24 @@ def repeat_groups(items: list[bytes], times: list[int], least: int = LEAST) -> I
     key = window_hashes(text, least)[at]
     order = np.argsort(key)
     ordered = key[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    of = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     size = np.diff(np.append(first, len(ordered)))
     place = at[order]
-    left = np.where(place > 0, text[place - 1], 0).astype(np.int64)
-    left[np.isin(place, begin, assume_unique=False)] = -1
+    starts = np.zeros(len(text), bool)
+    starts[begin[sizes > 0]] = True
+    left = np.where(starts[place], -1, text[place - 1].astype(np.int64))
     unlike = (np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first)) | (np.minimum.reduceat(left, first) < 0)
-    kept = place[((size > 1) & unlike)[of]]
-    if not len(kept):
-        return
-    owner = np.searchsorted(ends, kept, side="right")
-    offset = kept - begin[owner]
-    # The enhanced suffix array of what is kept: order, common prefixes with the neighbour before, left neighbours.
-    suffixes = [items[i][o:] for i, o in zip(owner.tolist(), offset.tolist(), strict=True)]
-    array = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    before = [int(text[p - 1]) if o else -1 - k for k, (p, o) in enumerate(zip(kept.tolist(), offset.tolist(), strict=True))]
-    prefix = [0] + [_common(suffixes[a], suffixes[b], least) for a, b in zip(array, array[1:], strict=False)] + [0]
-    breaks = [0]  # how often the left neighbour changes, up to each place
-    for a, b in zip(array, array[1:], strict=False):
-        breaks.append(breaks[-1] + (before[a] != before[b]))
-    stack: list[tuple[int, int]] = []  # (common prefix, first place) of the open intervals
-    for i in range(1, len(array) + 1):
-        lcp, low = (prefix[i] if i < len(array) else 0), i - 1
-        while stack and stack[-1][0] > lcp:
-            length, low = stack.pop()
-            if breaks[i - 1] > breaks[low]:
-                yield length, [(int(owner[array[k]]), int(offset[array[k]])) for k in range(low, i)]
-        if lcp >= least and (not stack or stack[-1][0] < lcp):
-            stack.append((lcp, low))
+    owner = np.searchsorted(ends, place, side="right")
+    for a, n in zip(*(x[(size > 1) & unlike].tolist() for x in (first, size)), strict=True):
+        own = place[a : a + n]
+        suffixes = [items[i][p:] for i, p in zip(owner[a : a + n].tolist(), (own - begin[owner[a : a + n]]).tolist(), strict=True)]
+        before = [x if x >= 0 else -1 - k for k, x in enumerate(left[a : a + n].tolist())]
+        if n == 2:  # one interval, left-diverse as the class is
+            if (length := _common(suffixes[0], suffixes[1], least)) >= least:
+                yield length, own
+            continue
+        for length, members in _interval_tree(suffixes, before, least):
+            yield length, own[members]
 
 
 def window_hashes(text: np.ndarray, width: int) -> np.ndarray:
@@ -228,23 +238,29 @@ def _scan(least: int, chunk: int, cover: bool):
         held, last = 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
-            keys, values = list(items), list(items.values())
+            keys, pieces = list(items), [x[0] for x in items.values()]
+            ends = np.cumsum([len(x) for x in pieces])
+            begin = ends - [len(x) for x in pieces]
+            depth = np.zeros(int(ends[-1]) + 1 if keys else 1, np.int64)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for length, places in repeat_groups([x[0] for x in values], [x[1] for x in values], least) if keys else ():
+            for length, places in repeat_groups(pieces, [x[1] for x in items.values()], least) if keys else ():
                 if cover:
-                    for i, o in places:
-                        spans.setdefault(i, []).append((o, o + length))
-                else:
-                    i, o = places[0]
-                    grp = int.from_bytes(hashlib.blake2b(values[i][0][o : o + length], digest_size=8).digest(), "little", signed=True)
-                    for i, o in places:
-                        for col, v in zip(out, (keys[i], o, length, grp), strict=True):
-                            col.append(v)
-            for i, own in spans.items():
-                for a, z in _merge(own):
-                    for col, v in zip(out, (keys[i], a, z - a, 0), strict=True):
-                        col.append(v)
+                    depth[places] += 1
+                    depth[places + length] -= 1
+                    continue
+                of = np.searchsorted(ends, places, side="right")
+                one = pieces[of[0]][places[0] - begin[of[0]] :][:length]
+                grp = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
+                for col, v in zip(out, ([keys[i] for i in of], (places - begin[of]).tolist(), [length] * len(of), [grp] * len(of)), strict=True):
+                    col.extend(v)
+            if cover and keys:
+                on = np.cumsum(depth[:-1]) > 0
+                edge = np.zeros(len(on), bool)
+                edge[begin] = True  # runs end with their item
+                opens = np.flatnonzero(on & (edge | ~np.concatenate(([False], on[:-1]))))
+                closes = np.flatnonzero(on & np.concatenate((edge[1:] | ~on[1:], [True]))) + 1
+                of = np.searchsorted(ends, opens, side="right")
+                out = ([keys[i] for i in of], (opens - begin[of]).tolist(), (closes - opens).tolist(), [0] * len(of))
             items.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["item", "offset", "length", "grp"])
 
