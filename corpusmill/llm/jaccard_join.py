@@ -26,7 +26,7 @@ from corpusmill.llm.common import written
 from corpusmill.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
-PIECES, BLOCK = 3, 1024
+PIECES, BLOCK, BROADCAST_NODES = 3, 1024, 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -211,7 +211,9 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = D
     blocks = written(components(stars))
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     blocks = blocks.join(sizes, "component").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    texts = rows.select("node", "text").join(blocks.select("node", "component", "parts"), "node").dropDuplicates(["node"])
+    # The texts of candidates: their nodes are sent to all tasks while few (20 bytes each), joined by shuffle beyond.
+    wanted = written(blocks.select("node", "component", "parts"))
+    texts = rows.select("node", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "node").dropDuplicates(["node"])
     sets = texts.select("node", "component", "parts", "text")
     elements = sets.select("node", F.struct("component", "parts").alias("component"), "text")
     elements = elements.mapInArrow(_elements(width), elements.select("node", "component").schema.add("elements", T.ArrayType(T.LongType())))
