@@ -44,6 +44,10 @@ def parseable(texts: pd.Series) -> pd.Series:
     return texts.map(one).astype(object)
 
 
+# The optimizer must neither repeat the parser nor move it into the filters above it.
+parseable = parseable.asNondeterministic()
+
+
 def compute_signals(docs: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """docs with the 14 signals; the last three are null unless the language is Python."""
     lines = F.col("_lines")
