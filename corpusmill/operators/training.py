@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.prefix import running_total
-from corpusmill.functions.textfn import let
 from corpusmill.operators.chat import SYSTEM
 
 SEPARATOR = b"\n"
@@ -41,13 +40,8 @@ def pack_blocks(docs: DataFrame, seq_len: int, order: str = "ord") -> DataFrame:
 
 
 def byte_ids(raw):
-    """A binary column as array<int>."""
-
-    def of(h):
-        at = F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h), F.lit(2))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int"))
-
-    return let(F.hex(raw), of)
+    """A binary column as array<int>: Latin-1 gives each byte the character of its number."""
+    return F.transform(F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit("(?s)."), 0), lambda c: F.ascii(c))
 
 
 def decode_ids(ids):
