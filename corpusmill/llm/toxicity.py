@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 SUBSTITUTE, STAR, DROP, BREAK, LOSE, REPEAT = 0.7, 2.0, 1.0, 3.0, 12.0, 1.0
 SEPARATORS = " \t.,-_*'`~"
 #: Labelled documents to fit on, features of the model, toxic documents that a feature must be in, and the least share of toxic ones among those it is in.
-FIT_ROWS, FEATURES, LEAST_DOCS, LEAST_SHARE = 20_000, 500, 5, 0.8
+FIT_ROWS, FEATURES, LEAST_DOCS, LEAST_SHARE = 20_000, 500, 5, 0.9
 THRESHOLD = 0.3
 HEADS = (4, 5, 6, 7, 8)
 N = len(LETTERS) + 1  # 0: anything between words
@@ -194,16 +195,20 @@ def odd_tokens(low: str) -> Iterator[str]:
 
 
 def counted(docs: DataFrame, model: Model) -> DataFrame:
-    """(feature, marked, docs): in how many of the labelled documents (text, toxic) a feature is, toxic ones apart."""
+    """(feature, marked, docs): families of the labelled documents (text, toxic) that have a feature, and those of them with toxic ones alone.
+
+    A family shares the least hash of its words, as near copies mostly do: many copies of one text are no more evidence than one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 names = list(model.features(x))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([int(y)] * len(names), pa.int64())], names=["feature", "toxic"])
+                family = min((zlib.crc32(w.encode()) for w in names), default=0)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([family] * len(names), pa.int64()), pa.array([int(y > 0)] * len(names), pa.int64())], names=["feature", "family", "toxic"])
 
-    rows = docs.select("text", "toxic").mapInArrow(run, "feature string, toxic long")
-    return rows.groupBy("feature").agg(F.sum("toxic").alias("marked"), F.count(F.lit(1)).alias("docs"))
+    rows = docs.select("text", "toxic").mapInArrow(run, "feature string, family long, toxic long")
+    return rows.groupBy("feature", "family").agg(F.min("toxic").alias("toxic")).groupBy("feature").agg(F.sum("toxic").alias("marked"), F.count(F.lit(1)).alias("docs"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
