@@ -92,9 +92,9 @@ def _quantile_bucket(x: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """docs with next_<column>: the values of the next row by order[0], an integer id (null first), and the rest of order; the last row
-    is followed by the first.
+def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], derive=lambda df: df) -> DataFrame:
+    """derive(docs) with next_<column>: the values of the next row by order[0], an integer id (null first), and the rest of order; the
+    last row is followed by the first. What is costly to compute belongs in derive: it runs once a row, after rows are dealt.
 
     Rows are dealt to buckets by id: quantiles, each cut into equal widths, so that neither their number nor a clustered id space fills
     one task. Each bucket also gets a copy of the row that follows it, and one window runs per bucket.
@@ -102,7 +102,7 @@ def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, ...])
     key = F.col(order[0])
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, [i / 64 for i in range(65)], 10_000).alias("q")).first()
     if not stats.n:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return derive(docs).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     edges = sorted(set(stats.q or [0]))
     sub = -(-stats.n // (ROWS_A_BUCKET * max(1, len(edges))))
     cuts = edges[1:]
@@ -120,10 +120,10 @@ def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, ...])
         same &= F.col(c).eqNullSafe(F.col(f"_head.{c}"))
     tails = dealt.join(F.broadcast(heads) if heads.count() <= 100_000 else heads, (F.col("_bucket") == F.col("_own")) & same)
     tails = tails.dropDuplicates(["_own"]).withColumn("_bucket", F.col("_before"))
-    rows = dealt.withColumn("_tail", F.lit(False)).unionByName(tails.drop("_before", "_own", "_head").withColumn("_tail", F.lit(True)))
+    rows = derive(dealt.withColumn("_tail", F.lit(False)).unionByName(tails.drop("_before", "_own", "_head").withColumn("_tail", F.lit(True))))
     w = W.partitionBy("_bucket").orderBy("_tail", F.col(order[0]).asc_nulls_first(), *order[1:])
     after = F.lead(F.struct(*columns)).over(w)
-    return rows.withColumn("_next", after).filter("not _tail").select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    return rows.withColumn("_next", after).filter("not _tail").drop("_bucket", "_tail").select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -133,8 +133,8 @@ def compare(docs: DataFrame) -> DataFrame:
     text counts as empty, a null doc_id comes first, rows of one doc_id follow each other by text hash; the only row follows itself.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), fingerprint(F.col("text")).alias("signature"))
-    rows = with_next(rows, ("text", "signature"), ("doc_id", "_hash"))
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    rows = with_next(rows, ("text", "signature"), ("doc_id", "_hash"), lambda df: df.withColumn("signature", fingerprint(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
