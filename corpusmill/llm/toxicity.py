@@ -197,14 +197,15 @@ def odd_tokens(low: str) -> Iterator[str]:
 def counted(docs: DataFrame, model: Model) -> DataFrame:
     """(feature, marked, docs): families of the labelled documents (text, toxic) that have a feature, and those of them with toxic ones alone.
 
-    A family shares the least hash of its words, as near copies mostly do: many copies of one text are no more evidence than one.
+    A family shares the least hash of its five-word shingles, as near copies mostly do: many copies of one text are no more evidence than one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 names = list(model.features(x))
-                family = min((zlib.crc32(w.encode()) for w in names), default=0)
+                words = (x or "").split()
+                family = min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([family] * len(names), pa.int64()), pa.array([int(y > 0)] * len(names), pa.int64())], names=["feature", "family", "toxic"])
 
     rows = docs.select("text", "toxic").mapInArrow(run, "feature string, family long, toxic long")
