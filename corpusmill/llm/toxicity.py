@@ -195,7 +195,20 @@ def odd_tokens(low: str) -> Iterator[str]:
 
 
 def counted(docs: DataFrame, model: Model) -> DataFrame:
-    """(feature, marked, docs): families of the labelled documents (text, toxic) that have a feature, and those of them with toxic ones alone.
+    """(feature, marked, docs): in how many of the labelled documents (text, toxic) a feature is, toxic ones apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names = list(model.features(x))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([int(y > 0)] * len(names), pa.int64())], names=["feature", "toxic"])
+
+    rows = docs.select("text", "toxic").mapInArrow(run, "feature string, toxic long")
+    return rows.groupBy("feature").agg(F.sum("toxic").alias("marked"), F.count(F.lit(1)).alias("docs"))
+
+
+def counted_by_family(docs: DataFrame, model: Model, candidates: set[str]) -> DataFrame:
+    """(feature, marked, docs) of candidates: families of documents that have them, and those of them with toxic documents alone.
 
     A family shares the least hash of its five-word shingles, as near copies mostly do: many copies of one text are no more evidence than one.
     """
@@ -203,7 +216,7 @@ def counted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                names = list(model.features(x))
+                names = list(model.features(x) & candidates)
                 words = (x or "").split()
                 family = min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([family] * len(names), pa.int64()), pa.array([int(y > 0)] * len(names), pa.int64())], names=["feature", "family", "toxic"])
@@ -229,9 +242,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n, t = int(total.n), int(total.t)
     base = min(max((t + 0.5) / (n + 1), 0.01), 0.25) if n else 0.01
     share = (F.col("marked") + 0.5) / (F.col("docs") + 1.0)
-    best = counted(sample, model).withColumn("share", share).filter((F.col("marked") >= LEAST_DOCS) & (F.col("share") >= LEAST_SHARE))
+    strength = share * F.sqrt("marked")
+    some = counted(sample, model).filter((F.col("marked") >= LEAST_DOCS) & (share >= 0.5))
+    candidates = {r.feature for r in some.orderBy(F.desc(strength), "feature").select("feature").limit(8 * FEATURES).collect()}
+    best = counted_by_family(sample, model, candidates).filter((F.col("marked") >= LEAST_DOCS) & (share >= LEAST_SHARE))
     names, odds = [], {}
-    for r in best.orderBy(F.desc(F.col("share") * F.sqrt("marked")), F.desc(F.length("feature")), "feature").limit(8 * FEATURES).collect():
+    for r in best.orderBy(F.desc(strength), F.desc(F.length("feature")), "feature").limit(8 * FEATURES).collect():
         core = r.feature.rstrip("-")
         if len(names) < FEATURES and not any(core.startswith(x) or x.startswith(core) for x in odds):  # a word and its heads count once
             names.append(r.feature)
