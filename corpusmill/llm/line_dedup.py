@@ -85,10 +85,16 @@ def dedup(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, sha
     hits = hits.groupBy("_key").agg(F.collect_set("line_id").alias("_drop"))  # at most the lines of one document
     lines = F.split("text", "\n", -1)
     marked = F.transform(masked_lines(F.col("text")), lambda x: F.array_contains("_drop", F.xxhash64(x)) & (x != ""))
-    rows = docs.withColumn("_key", _key()).join(hits, "_key", "left").withColumn("_gone", F.when(F.col("_drop").isNotNull(), marked))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.get("_gone", i)), "\n")
+
+    def outcome(gone: Column) -> Column:
+        left = F.array_join(F.filter(lines, lambda x, i: ~F.get(gone, i)), "\n")
+        return F.struct(left.alias("text"), F.size(F.filter(gone, lambda g: g)).cast("long").alias("n"))
+
+    made = F.when(F.col("_drop").isNotNull(), F.element_at(F.transform(F.array(marked), outcome), 1))
+    # Exploding one value keeps the optimizer from repeating it in every column and filter that reads it.
+    rows = docs.withColumn("_key", _key()).join(hits, "_key", "left").withColumn("_made", F.explode(F.array(made)))
     return rows.select(
-        *(F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept),
+        *(F.coalesce("_made.text", "text").alias("text") if c == "text" else F.col(c) for c in kept),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda g: g))).cast("long").alias("n_dropped"),
+        F.coalesce("_made.n", F.lit(0)).cast("long").alias("n_dropped"),
     )
