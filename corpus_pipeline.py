@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from corpusmill.llm.common import WORD, table, written
 
+#: Near copies share 0.8 or more of their shingles of five words; op10's own figures are those of its query alone.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold; labels come from the rows that are not held out."""
@@ -34,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words are linked with nothing and all stay.
     """
-    members, found = jaccard_join.join(docs.select("doc_id", "text"))
+    members, found = jaccard_join.join(docs.select("doc_id", "text"), width=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
     groups = jaccard_join.groups(members, found)
     # A table of the texts that stay, one row a group: no text is shuffled but to meet its own hash.
     best = groups.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), "node")).alias("b"))

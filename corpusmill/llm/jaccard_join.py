@@ -9,6 +9,12 @@ Copies of a text are one node. Signatures seen at two nodes or more link their n
 all pairs); the connected components of those links are blocks of candidates. Inside a block, exact intersections are
 counted from postings, and only a spanning forest of the links that hold leaves the task. A block above BLOCK nodes is
 dealt to pairs of its parts, so that no task gets more than 2 * BLOCK nodes and no pair goes untested.
+
+Below a similarity of 0.9 the pieces hold so few shingles that unlike texts share signatures and most of a corpus is one
+block. There the signatures are prefixes instead: with the shingles of all texts in one order, the rarest first, sets of a
+and b elements that share i have a common element among their first a - i + 1 and b - i + 1. Shingles that no second text
+has take up places there and are no signatures, so most texts have none left. Counts come from 32 bits and the part of each
+shingle, packed by chunks of texts; a collision there puts a shingle later in the order of every text and loses nothing.
 """
 
 from __future__ import annotations
@@ -18,15 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.llm.common import written
 from corpusmill.operators.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
 PIECES, BLOCK, BROADCAST_NODES = 3, 1024, 1_000_000
+#: Texts of a chunk at most, and shingles after which it ends; rows of a chunk name their texts in 16 bits.
+CHUNK, CHUNK_SHINGLES = 2000, 200_000
+POSTINGS = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -34,7 +45,7 @@ class _Words(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -108,6 +119,109 @@ def _profile(width: int, num: int, den: int):
     return run
 
 
+def _chunked(width: int, parts: int, member: pa.StructType):
+    """Of each chunk of texts, their members in part -1, and of each part its shingles: 32 bits of each and the place of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+
+        def packed(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in sets])
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            part = ((every >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            found, start = np.unique(part[order], return_index=True)
+            ends = np.append(start, len(every))[1:]
+            low, owner = every[order].astype(np.uint32), owner[order]
+            of = pa.StructArray.from_arrays([rows.column("doc_id"), rows.column("node"), pa.array(sizes, pa.int64())], fields=list(member))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(found) + 1, chunk)), pa.array(np.append(-1, found), pa.int64()),
+                    pa.array([None, *(low[a:b].tobytes() for a, b in zip(start, ends))], pa.binary()), pa.array([None, *(owner[a:b].tobytes() for a, b in zip(start, ends))], pa.binary()),
+                    pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of), pa.nulls(len(found), pa.list_(of.type))]),
+                ],
+                names=["chunk", "part", "low", "owner", "members"],
+            )
+
+        for b in batches:
+            lo, sets, n = 0, [], 0
+            for i, x in enumerate(b.column("text")):
+                sets.append(shingles(x.as_py(), width))
+                n += len(sets[-1])
+                if len(sets) == CHUNK or n >= CHUNK_SHINGLES or i + 1 == b.num_rows:
+                    yield packed(b.slice(lo, len(sets)), sets)
+                    lo, sets, n, chunk = i + 1, [], 0, chunk + 1
+
+    return run
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each run of one value in the first column."""
+    key, rows = None, []
+    for b in batches:
+        for r in (x for lo in range(0, b.num_rows, 64) for x in b.slice(lo, 64).to_pylist()):
+            now = next(iter(r.values()))
+            if rows and now != key:
+                yield key, rows
+                rows = []
+            key = now
+            rows.append(r)
+    if rows:
+        yield key, rows
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part, the shingles found more than once, with how often (255 stands for more)."""
+    for part, rows in _by_first(batches):
+        low = [np.frombuffer(r["low"], np.uint32) for r in rows]
+        _, at, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        times, out, end = np.minimum(times, 255).astype(np.uint8)[at], [], 0
+        for r, x in zip(rows, low):
+            mine, end = times[end : end + len(x)], end + len(x)
+            if (more := mine > 1).any():
+                out.append((r["chunk"], part, x[more].tobytes(), np.frombuffer(r["owner"], np.uint16)[more].tobytes(), mine[more].tobytes()))
+        if out:
+            chunk, of, *values = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(of, pa.int64()), *(pa.array(x, pa.binary()) for x in values)], names=["chunk", "part", "low", "owner", "times"])
+
+
+def prefixes(owner: np.ndarray, key: np.ndarray, times: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Places of the shared shingles (owner, key, times) that are in their text's prefix; sizes has the shingles of each text, those shared with none too."""
+    shared, need = np.bincount(owner, minlength=len(sizes)), -(-sizes * num // den)
+    order = np.lexsort((key, times, owner))
+    rank = np.arange(len(order)) - (np.cumsum(shared) - shared)[owner[order]]
+    return order[rank < (shared - need + 1)[owner[order]]]
+
+
+def _prefixes(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (head, *rows) in _by_first(batches):
+            if not rows:
+                continue
+            node, sizes = (np.array([m[c] for m in head["members"]], np.int64) for c in ("node", "n_shingles"))
+            owner, times = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("owner", np.uint16), ("times", np.uint8)))
+            key = np.concatenate([np.frombuffer(r["low"], np.uint32) + (np.int64(r["part"]) << 32) for r in rows])
+            at = prefixes(owner.astype(np.int64), key, times, sizes, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(node[owner[at]]), pa.array(key[at])], names=["node", "key"])
+
+    return run
+
+
+def _rare_first(rows: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """members and keyed (node, key) of rows (doc_id, node, text), by prefixes of shingles in the order of their counts."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    kinds = rows.select("doc_id", "node").schema.add("n_shingles", "long")
+    member = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in kinds])
+    out = T.StructType().add("chunk", "long").add("part", "long").add("low", "binary").add("owner", "binary").add("members", T.ArrayType(kinds))
+    chunks = written(rows.mapInArrow(_chunked(width, 4 * n, member), out))
+    heads = chunks.filter("part = -1")
+    parts = chunks.filter("part >= 0").select("part", "chunk", "low", "owner").repartition(n, "part").sortWithinPartitions("part", "chunk")
+    parts = parts.mapInArrow(_shared, "chunk long, part long, low binary, owner binary, times binary")
+    both = heads.select("chunk", "part", "low", "owner", F.lit(None).cast("binary").alias("times"), "members").unionByName(parts, allowMissingColumns=True)
+    keyed = both.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_prefixes(num, den), "node long, key long")
+    return heads.select(F.inline("members")), written(keyed)
+
+
 def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets with num * union <= den * intersection. left marks the one side of a
     pair of parts: pairs within a side are then left to other calls; if it is all alike, every pair counts."""
@@ -134,12 +248,16 @@ def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[
     for i in range(m):
         mine = word[ends[i] : ends[i + 1]]
         mine = mine[count[mine] > 1]
-        n = count[mine]
-        total = int(n.sum())
-        if not total:
+        until = np.cumsum(count[mine])
+        if not len(mine):
             continue
-        at = np.repeat(start[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        inter = np.bincount(posted[at], minlength=m)
+        inter, lo = np.zeros(m, np.int64), 0
+        while lo < len(mine):  # postings of long sets in large blocks, so many at a time
+            hi = max(lo + 1, int(np.searchsorted(until, (until[lo - 1] if lo else 0) + POSTINGS, "right")))
+            n = count[mine[lo:hi]]
+            at = np.repeat(start[mine[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            inter += np.bincount(posted[at], minlength=m)
+            lo = hi
         ok = den * inter >= num * (size[i] + size - inter)
         ok[: i + 1] = False
         if across:
@@ -203,9 +321,12 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = D
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
-    profile = written(rows.mapInArrow(_profile(width, num, den), rows.select("doc_id", "node").schema.add("n_shingles", "long").add("keys", T.ArrayType(T.LongType()))))
-    members = profile.select("doc_id", "node", "n_shingles")
-    keyed = profile.select("node", F.explode("keys").alias("key"))
+    if 10 * num < 9 * den:
+        members, keyed = _rare_first(rows, width, num, den)
+    else:
+        profile = written(rows.mapInArrow(_profile(width, num, den), rows.select("doc_id", "node").schema.add("n_shingles", "long").add("keys", T.ArrayType(T.LongType()))))
+        members = profile.select("doc_id", "node", "n_shingles")
+        keyed = profile.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("key", "least")
     stars = keyed.join(shared, "key").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     blocks = written(components(stars))

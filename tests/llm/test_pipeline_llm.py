@@ -45,6 +45,45 @@ def test_stages(spark, tmp_path):
     assert whole.agg(F.sum("length")).first()[0] == packed
 
 
+def test_near_copies_share_five_words(spark):
+    """Pairs of 0.8 to 0.9 and just below 0.8, by brute force over shingles of five words."""
+    rng = random.Random(31)
+    rows = [(r[0], r[1]) for r in corpus(31) if r[0] is not None]
+    passage = [f"p{rng.randrange(900)}" for _ in range(60)]
+    for k in range(30):
+        base = [f"v{rng.randrange(900)}" for _ in range(rng.randint(20, 300))] + passage * (k % 2)
+        rows.append((5000 + 10 * k, " ".join(base)))
+        for c in range(1, 5):
+            w, cut = list(base), rng.randrange(len(base))
+            if c % 2:
+                w[cut:cut] = [f"n{rng.randrange(900)}" for _ in range(len(base) * rng.randint(10, 26) // 100)]
+            else:
+                for _ in range(rng.randint(1, 2 + len(base) // 40)):
+                    w[rng.randrange(len(w))] = f"e{rng.randrange(900)}"
+            rows.append((5000 + 10 * k + c, " ".join(w)))
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    alike = lambda a, b, num: 100 * len(a & b) >= num * len(a | b)
+    between = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and alike(a, sets[j], 80):
+                between += not alike(a, sets[j], 90)
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    assert between > 20
+    least = {}
+    for (d, _), g in zip(rows, group):
+        least[g] = min(d, least.get(g, d))
+    want = [least[g] for g in {g for g, s in zip(group, sets) if s}] + sorted(d for (d, _), s in zip(rows, sets) if not s)
+    docs = table(spark, [(d, t, "en", "s") for d, t in rows])
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_stages_on_nothing(spark, tmp_path):
     folder = str(tmp_path / "sf")
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
