@@ -86,16 +86,21 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), summed down from k until terms no longer count."""
+    """P(Bin(n, p) <= k), summed down from k until terms no longer count; above the mean, 1 less the sum up from k + 1.
+
+    Terms fall from the first on either way, so where the first is too small for a float the sum is nothing.
+    """
     if k >= n:
         return 1.0
+    up = k > n * p
+    k += up
     term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
     total = 0.0
-    while k >= 0 and term > total * 1e-17:
+    while 0 <= k <= n and term > total * 1e-17:
         total += term
-        term *= k * (1 - p) / ((n - k + 1) * p)
-        k -= 1
-    return min(total, 1.0)
+        term *= (n - k) * p / ((k + 1) * (1 - p)) if up else k * (1 - p) / ((n - k + 1) * p)
+        k += 1 if up else -1
+    return max(1.0 - total, 0.0) if up else min(total, 1.0)
 
 
 def choose(rejected: list[int], n: int, alpha: float, delta: float) -> int:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -198,6 +199,19 @@ def test_quality_verdicts(spark):
     assert none.filter("not base_failed and not kept").count() == 0 and quality_rules.judge(table(spark, []), labels).count() == 0
 
 
+def test_binomial_tail_far_above_the_mean():
+    for n in (1_000, 5_000, 10_000, 100_000, 1_000_000):
+        mean = n // 200
+        for k in (mean + 1, 2 * mean, n // 20, n // 4, n // 2, n - 1):
+            assert quality_rules.binomial_tail(k, n, 0.005) > 0.5
+        tails = [quality_rules.binomial_tail(k, n, 0.005) for k in range(max(0, mean - 50), mean + 50)]
+        assert tails == sorted(tails) and tails[0] < 0.5 < tails[-1]
+        # One step of the grid from none to a quarter of the good documents: only the cutoffs before it hold.
+        assert quality_rules.choose([0, n // 4, n // 4, n // 2], n, 0.005, 0.05) == 0
+    exact = sum(math.comb(1000, x) * 0.005**x * 0.995 ** (1000 - x) for x in range(10))
+    assert abs(quality_rules.binomial_tail(9, 1000, 0.005) - exact) < 1e-12
+
+
 # 5: chat quotes
 
 
