@@ -1,13 +1,16 @@
 r"""Line dedup by a log-template tree, in Spark expressions alone.
 
 A line is its words, those with a digit masked as <*>. The tree has fixed depth: the number of words, then the LEADING
-first words; what shares that path is a leaf. Inside a leaf a word stays constant at its place if lines of MIN_DOCS
-documents have it there, else the place is a variable field; lines with the same constants are one template. A template
+first words; what shares that path is a leaf. Inside a leaf an unmasked word is constant at its place if lines of MIN_DOCS
+documents have it there, all else is a variable field; lines with the same constants are one template. A template
 whose constants make up SHARE of its words and that MIN_DOCS documents have is dropped from all but the first of them (the least doc_id),
-so that what recurs is kept once.
+so that what recurs is kept once. Lines of LONG words or more, SHARE of them unmasked, are templates of their own too and need LONG_DOCS
+documents only: a long passage does not recur by chance.
 
-A document counts a line once. Leaves that MIN_DOCS documents reach are found from hashes; only their lines are then shuffled, distinct
-and combined before, so a line that a third of all documents have is one row a task, and only their words are exploded.
+A document is a distinct (doc_id, text), so repeated rows count once, and it counts once for a leaf, a word at its place or a template
+however many of its lines are there. Sums over lines bound such a count from above and the commonest line from below; only where MIN_DOCS
+lies between are documents told apart. Lines of leaves that too few documents reach are left out from hashes alone; the lines of the
+others are combined before they are shuffled, so a line that a third of all documents have is one row a task.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import written
 
 LEADING, MIN_DOCS, SHARE = 3, 5, 0.7
+#: Words of a line that is a passage, and documents that it takes to drop it from all but the first.
+LONG, LONG_DOCS = 50, 2
+MASK = "<*>"
 #: The id that rows without a doc_id count as.
 NO_ID = (1 << 63) - 1
 #: Leaves that are sent to all tasks, 8 bytes each; more are joined by shuffle.
@@ -30,19 +36,16 @@ def masked_lines(text: Column) -> Column:
     for gap in ("  ", "\t", "\r", "\x0b", "\x0c"):  # plain searches, many times cheaper than a pattern over every text
         odd |= text.contains(F.lit(gap))
     plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
-    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x)
+    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", MASK)).otherwise(x)
     return F.transform(F.split(plain, "\n", -1), lambda x: mask(F.trim(x)))
 
 
-def _leaf(line: Column, leading: int) -> Column:
-    return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", leading))
+def _words(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def _places(docs: DataFrame, leading: int) -> DataFrame:
-    """(_key, id, leaf, line_id) of every masked line of every row, each once a row; a written table of numbers."""
-    line = F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")
-    rows = docs.select(_key().alias("_key"), _id().alias("id"), line).filter("line <> ''")
-    return written(rows.select("_key", "id", _leaf(F.col("line"), leading).alias("leaf"), F.xxhash64("line").alias("line_id")))
+def _leaf(line: Column, leading: int) -> Column:
+    return F.xxhash64(_words(line), F.substring_index(line, " ", leading))
 
 
 def _id() -> Column:
@@ -53,35 +56,60 @@ def _key() -> Column:
     return F.xxhash64(_id(), F.coalesce("text", F.lit("")))
 
 
-def templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, share: float = SHARE, places: DataFrame | None = None) -> DataFrame:
-    """(leaf, line_id, owner) of every masked line whose template is dropped, with the document that keeps it.
-
-    docs (doc_id, text): null and blank texts have no lines. Rows count as documents, repeated rows too.
-    """
-    places = _places(docs, leading) if places is None else places
-    leaves = written(places.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+def _places(docs: DataFrame, leading: int) -> DataFrame:
+    """(_key, id, leaf, n, line_id) of every masked line of every document, each once; a written table of numbers."""
     line = F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")
-    rows = docs.select(_id().alias("id"), line).filter("line <> ''").withColumn("leaf", _leaf(F.col("line"), leading))
-    # Texts of lines are wanted for these leaves alone: sent to all tasks while few, joined by shuffle beyond.
-    rows = rows.join(F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves, "leaf", "left_semi")
-    lines = rows.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("owner"))
-    found = written(lines.select("leaf", F.xxhash64("line").alias("line_id"), F.split("line", " ").alias("words"), "docs", "owner"))
-    words = found.select("leaf", "line_id", "docs", "owner", F.size("words").alias("n"), F.posexplode(F.transform("words", lambda w: F.xxhash64(w))).alias("at", "word"))
-    stable = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("_n")).filter(F.col("_n") >= min_docs).select("leaf", "at", "word")
-    shape = words.join(stable, ["leaf", "at", "word"]).groupBy("leaf", "line_id", "docs", "owner", "n").agg(F.count(F.lit(1)).alias("constant"), F.bit_xor(F.xxhash64("at", "word")).alias("template"))
-    shape = shape.filter(F.col("constant") * 1000 >= F.col("n") * round(share * 1000))
-    recurring = shape.groupBy("leaf", "constant", "template").agg(F.sum("docs").alias("_n"), F.min("owner").alias("first")).filter(F.col("_n") >= min_docs).drop("_n")
-    return shape.join(recurring, ["leaf", "constant", "template"]).select("leaf", "line_id", F.col("first").alias("owner"))
+    rows = docs.select(_key().alias("_key"), _id().alias("id"), line).filter("line <> ''")
+    return written(rows.select("_key", "id", _leaf(F.col("line"), leading).alias("leaf"), _words(F.col("line")).alias("n"), F.xxhash64("line").alias("line_id")).distinct())
+
+
+def _enough(rows: DataFrame, keys: list[str], places: DataFrame, need: int, *more: Column) -> DataFrame:
+    """keys, and the aggregates `more`, of the groups of rows (leaf, line_id, docs, ...) whose lines stand in `need` documents or more."""
+    found = written(rows.groupBy(*keys).agg(F.sum("docs").alias("_most"), F.max("docs").alias("_least"), *more).filter(F.col("_most") >= need))
+    unsure = found.filter(F.col("_least") < need).select(*keys)
+    of = rows.join(unsure, keys, "left_semi").select(*dict.fromkeys([*keys, "leaf", "line_id"]))
+    exact = of.join(places.select("leaf", "line_id", "_key"), ["leaf", "line_id"]).select(*keys, "_key").distinct()
+    exact = exact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= need).select(*keys)
+    return found.filter(F.col("_least") >= need).unionByName(found.join(exact, keys, "left_semi")).drop("_most", "_least")
 
 
-def dedup(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """docs with n_lines, n_dropped and the text that stays (columns of the first two names are replaced).
+def templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, share: float = SHARE, long: int = LONG, long_docs: int = LONG_DOCS, places: DataFrame | None = None) -> DataFrame:
+    """(leaf, line_id, owner) of every masked line that is dropped, each once, with the id of the document that keeps its template.
 
-    Blank lines stay. A null text stays null with no lines. Rows of one doc_id and text get the same treatment.
+    docs (doc_id, text): null and blank texts have no lines.
+    """
+    places = _places(docs, leading) if places is None else places
+    need = F.when(F.col("n") >= long, min(long_docs, min_docs)).otherwise(min_docs)
+    leaves = places.select("leaf", "n", "_key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("_docs"))
+    leaves = written(leaves.filter(F.col("_docs") >= need).select("leaf"))
+    # Texts of lines are wanted for these leaves alone: sent to all tasks while few, joined by shuffle beyond.
+    side = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    counts = places.join(side, "leaf", "left_semi").groupBy("leaf", "line_id", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("owner"))
+    line = F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")
+    rows = docs.select(line).filter("line <> ''").withColumn("leaf", _leaf(F.col("line"), leading))
+    rows = rows.join(side, "leaf", "left_semi").select("line").distinct().select(F.xxhash64("line").alias("line_id"), F.split("line", " ").alias("words"))
+    found = written(counts.join(rows, "line_id"))
+    words = found.select("leaf", "line_id", "docs", F.posexplode(F.transform("words", lambda w: F.when(w != MASK, F.xxhash64(w)))).alias("at", "word")).filter("word is not null")
+    stable = _enough(words, ["leaf", "at", "word"], places, min_docs)
+    shape = words.join(stable, ["leaf", "at", "word"]).groupBy("leaf", "line_id").agg(F.count(F.lit(1)).alias("constant"), F.bit_xor(F.xxhash64("at", "word")).alias("template"))
+    shape = written(found.drop("words").join(shape, ["leaf", "line_id"]).filter(F.col("constant") * 1000 >= F.col("n") * round(share * 1000)))
+    recurring = _enough(shape, ["leaf", "constant", "template"], places, min_docs, F.min("owner").alias("first"))
+    gone = shape.join(recurring, ["leaf", "constant", "template"]).select("leaf", "line_id", F.col("first").alias("owner"))
+    plain = F.size(F.filter("words", lambda w: w != MASK))
+    passages = found.filter((F.col("n") >= long) & (F.col("docs") >= long_docs) & (plain * 1000 >= F.col("n") * round(share * 1000)))
+    return gone.unionByName(passages.select("leaf", "line_id", "owner")).groupBy("leaf", "line_id").agg(F.min("owner").alias("owner"))
+
+
+def dedup(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, share: float = SHARE, long: int = LONG, long_docs: int = LONG_DOCS) -> DataFrame:
+    """docs with n_lines, n_dropped and the text that stays (columns of the first two names are replaced, all others stay).
+
+    Blank lines stay. A null text stays null with no lines; an empty one has one blank line. Rows of one doc_id and text get the same
+    treatment; rows of one doc_id keep alike, and rows without a doc_id count as the last id. An empty table stays empty. Texts may be of
+    any length: the lines of one are exploded as rows.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     places = _places(docs, leading)
-    hits = places.join(templates(docs, leading, min_docs, share, places), ["leaf", "line_id"]).filter("id <> owner")
+    hits = places.join(templates(docs, leading, min_docs, share, long, long_docs, places), ["leaf", "line_id"]).filter("id <> owner")
     hits = hits.groupBy("_key").agg(F.collect_set("line_id").alias("_drop"))  # at most the lines of one document
     lines = F.split("text", "\n", -1)
     marked = F.transform(masked_lines(F.col("text")), lambda x: F.array_contains("_drop", F.xxhash64(x)) & (x != ""))

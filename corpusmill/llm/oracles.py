@@ -11,19 +11,20 @@ SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM p LEFT
 """
 
 OP3 = r"""
-WITH l AS (SELECT d.doc_id, d.n AS row_id, u.i, d.lines[u.i] AS line,
+WITH l AS (SELECT d.doc_id, d.n AS row_id, d.doc, u.i, d.lines[u.i] AS line,
                   list_transform(list_filter(string_split_regex(d.lines[u.i], '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
-           FROM (SELECT doc_id, row_number() OVER () AS n, string_split(text, chr(10)) AS lines FROM documents) d, unnest(range(1, len(d.lines) + 1)) AS u(i)),
-dl AS (SELECT w, len(w) AS n, w[1:3] AS lead, count(DISTINCT row_id) AS docs, min(doc_id) AS owner FROM l WHERE len(w) > 0 GROUP BY w),
-leaf AS (SELECT n, lead FROM dl GROUP BY n, lead HAVING sum(docs) >= 5),
+           FROM (SELECT doc_id, row_number() OVER () AS n, dense_rank() OVER (ORDER BY doc_id, text) AS doc, string_split(text, chr(10)) AS lines FROM documents) d, unnest(range(1, len(d.lines) + 1)) AS u(i)),
+dl AS (SELECT DISTINCT w, len(w) AS n, w[1:3] AS lead, doc, doc_id FROM l WHERE len(w) > 0),
+leaf AS (SELECT n, lead FROM dl GROUP BY n, lead HAVING count(DISTINCT doc) >= 5),
 c AS (SELECT dl.* FROM dl JOIN leaf USING (n, lead)),
-tok AS (SELECT c.n, c.lead, u.i AS pos, c.w[u.i] AS word, c.docs FROM c, unnest(range(1, c.n + 1)) AS u(i)),
-st AS (SELECT n, lead, pos, word FROM tok GROUP BY ALL HAVING sum(docs) >= 5),
-sh AS (SELECT c.w, c.n, c.lead, c.docs, c.owner, count(*) AS constant, list((st.pos, st.word) ORDER BY st.pos) AS template
-       FROM c, unnest(range(1, c.n + 1)) AS u(i), st WHERE st.n = c.n AND st.lead = c.lead AND st.pos = u.i AND st.word = c.w[u.i] GROUP BY c.w, c.n, c.lead, c.docs, c.owner),
-ok AS (SELECT * FROM sh WHERE constant * 1000 >= n * 700),
-rec AS (SELECT n, lead, template, min(owner) AS keeper FROM ok GROUP BY n, lead, template HAVING sum(docs) >= 5),
-gone AS (SELECT ok.w, rec.keeper FROM ok JOIN rec USING (n, lead, template)),
+tok AS (SELECT c.n, c.lead, u.i AS pos, c.w[u.i] AS word, c.doc FROM c, unnest(range(1, c.n + 1)) AS u(i) WHERE c.w[u.i] <> '<*>'),
+st AS (SELECT n, lead, pos, word FROM tok GROUP BY ALL HAVING count(DISTINCT doc) >= 5),
+sh AS (SELECT k.w, k.n, k.lead, count(*) AS constant, list((st.pos, st.word) ORDER BY st.pos) AS template
+       FROM (SELECT DISTINCT w, n, lead FROM c) k, unnest(range(1, k.n + 1)) AS u(i), st WHERE st.n = k.n AND st.lead = k.lead AND st.pos = u.i AND st.word = k.w[u.i] GROUP BY k.w, k.n, k.lead),
+ok AS (SELECT c.w, c.n, c.lead, c.doc, c.doc_id, sh.template FROM c JOIN sh USING (w, n, lead) WHERE constant * 1000 >= c.n * 700),
+rec AS (SELECT n, lead, template, min(doc_id) AS keeper FROM ok GROUP BY n, lead, template HAVING count(DISTINCT doc) >= 5),
+passage AS (SELECT w, min(doc_id) AS keeper FROM dl WHERE n >= 50 AND len(list_filter(w, lambda x: x <> '<*>')) * 1000 >= n * 700 GROUP BY w HAVING count(DISTINCT doc) >= 2),
+gone AS (SELECT w, min(keeper) AS keeper FROM (SELECT DISTINCT ok.w, rec.keeper FROM ok JOIN rec USING (n, lead, template) UNION ALL SELECT w, keeper FROM passage) GROUP BY w),
 m AS (SELECT l.*, gone.w IS NOT NULL AND l.doc_id <> gone.keeper AS dropped FROM l LEFT JOIN gone ON l.w = gone.w)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_md5
 FROM m GROUP BY row_id, doc_id

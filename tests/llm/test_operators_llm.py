@@ -155,6 +155,70 @@ def test_line_dedup(spark):
     line_dedup.BROADCAST_LEAVES = old
 
 
+def brute_lines(rows, leading=3, min_docs=5, share=0.7, long=50, long_docs=2):
+    """(doc_id, text that stays) of each row: documents are distinct (id, text) pairs, counted as sets all along."""
+    split = lambda t: [tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09\x0B-\x0D]+", x)) for x in (t or "").split("\n")]
+    holders = collections.defaultdict(set)
+    for i, t, *_ in rows:
+        for w in split(t):
+            if w:
+                holders[w].add((i, t))
+    leaf = lambda w: (len(w), w[:leading])
+    at = collections.defaultdict(set)
+    for w, docs in holders.items():
+        for k, x in enumerate(w):
+            if x != "<*>":
+                at[leaf(w), k, x] |= docs
+    shape = {w: tuple((k, x) for k, x in enumerate(w) if len(at.get((leaf(w), k, x), ())) >= min_docs) for w in holders}
+    teams = collections.defaultdict(set)
+    for w, s in shape.items():
+        if s and len(s) * 1000 >= len(w) * round(share * 1000):
+            teams[leaf(w), s] |= holders[w]
+    rank = lambda i: 2**63 - 1 if i is None else i
+    owner = {}
+    for w, s in shape.items():
+        if s and len(s) * 1000 >= len(w) * round(share * 1000) and len(team := teams[leaf(w), s]) >= min_docs:
+            owner[w] = min(rank(i) for i, _ in team)
+        elif len(w) >= long and sum(x != "<*>" for x in w) * 1000 >= len(w) * round(share * 1000) and len(holders[w]) >= long_docs:
+            owner[w] = min(rank(i) for i, _ in holders[w])
+    out = []
+    for i, t, *_ in rows:
+        if t is None:
+            out.append((i, None))
+        else:
+            out.append((i, "\n".join(x for x, w in zip(t.split("\n"), split(t), strict=True) if owner.get(w, rank(i)) == rank(i))))
+    return out
+
+
+def test_line_dedup_counts_documents(spark):
+    """One document with many variants of a template is one document, however many of them it holds."""
+    four = "\n".join(f"user {x} has logged in today" for x in ("anna", "bert", "carl", "dora"))
+    rows = [(1, four, "en", "s"), (2, "user emil has logged in today\nown words", "en", "s")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows)).collect()} == {i: t for i, t, *_ in rows}
+    numbers = [(i, f"{i} {i + 1} {i + 2} {i + 3}", "en", "s") for i in range(9)]  # nothing but variable fields
+    assert line_dedup.dedup(table(spark, numbers)).filter("n_dropped > 0").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    stems = ["the quick brown fox jumps over", "order was sent to you by", "a b c d e f"]
+    passages = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(n)) for n in (49, 50, 80)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            w = rng.choice(stems).split()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(1, len(w))] = rng.choice(["x", "y", "7", f"u{rng.choice('klmnop')}"])
+            lines.append(rng.choice([" ", "  ", "\t"]).join(w))
+        lines += [x for x in passages if rng.random() < 0.08] + [""] * rng.randint(0, 1)
+        rows.append((rng.choice([i, i, i, None]), "\n".join(lines) if i % 13 else None, "en", "s"))
+    rows += rows[:6]
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup(table(spark, rows)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_lines(rows)))
+
+
 # 4: quality rules
 
 
