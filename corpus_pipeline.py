@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words are linked with nothing and all stay.
     """
-    members, found = jaccard_join.join(docs.select("doc_id", "text"), width=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
+    members, found, *_ = jaccard_join.join(docs.select("doc_id", "text"), width=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
     groups = jaccard_join.groups(members, found)
     # A table of the texts that stay, one row a group: no text is shuffled but to meet its own hash.
     best = groups.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), "node")).alias("b"))
