@@ -7,8 +7,9 @@ a signature, and pairs as alike as the threshold always share one.
 
 Copies of a text are one node. Signatures seen at two nodes or more link their nodes to the least of them (a star, never
 all pairs); the connected components of those links are blocks of candidates. Inside a block, exact intersections are
-counted from postings, and only a spanning forest of the links that hold leaves the task. A block above BLOCK nodes is
-dealt to pairs of its parts, so that no task gets more than 2 * BLOCK nodes and no pair goes untested.
+counted from postings: every pair is tested once, each node's links are summed, and of the links themselves a spanning forest
+leaves the task, so a family of n near copies costs n rows. A block above BLOCK nodes or ELEMENTS shingles is dealt to pairs
+of its parts, so that no task gets more than about twice as much and no pair goes untested.
 
 Below a similarity of 0.9 the pieces hold so few shingles that unlike texts share signatures and most of a corpus is one
 block. There the signatures are prefixes instead: with the shingles of all texts in one order, the rarest first, sets of a
@@ -34,7 +35,7 @@ from corpusmill.llm.common import written
 from corpusmill.operators.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100
-PIECES, BLOCK, BROADCAST_NODES = 3, 1024, 1_000_000
+PIECES, BLOCK, ELEMENTS, BROADCAST_NODES = 3, 1024, 2_000_000, 1_000_000
 #: Texts of a chunk at most, and shingles after which it ends; rows of a chunk name their texts in 16 bits.
 CHUNK, CHUNK_SHINGLES = 2000, 200_000
 POSTINGS = 500_000
@@ -222,9 +223,10 @@ def _rare_first(rows: DataFrame, width: int, num: int, den: int) -> tuple[DataFr
     return heads.select(F.inline("members")), written(keyed)
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with num * union <= den * intersection. left marks the one side of a
-    pair of parts: pairs within a side are then left to other calls; if it is all alike, every pair counts."""
+def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the pairs of sets with num * union <= den * intersection, and for each set the copies (1 each if not given)
+    of all it is paired with. left marks the one side of a pair of parts: pairs within a side are then left to other calls; if it is all
+    alike, every pair counts."""
     m, size = len(sets), np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(m), size)
@@ -244,7 +246,8 @@ def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[
         return i
 
     across = left.any() and not left.all()
-    ends, found = np.concatenate(([0], np.cumsum(size))), []
+    ends, found, degree = np.concatenate(([0], np.cumsum(size))), [], np.zeros(m, np.int64)
+    copies = np.ones(m, np.int64) if copies is None else copies
     for i in range(m):
         mine = word[ends[i] : ends[i + 1]]
         mine = mine[count[mine] > 1]
@@ -262,39 +265,53 @@ def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[
         ok[: i + 1] = False
         if across:
             ok &= left != left[i]
-        for j in np.flatnonzero(ok):
+        others = np.flatnonzero(ok)
+        degree[i] += copies[others].sum()
+        degree[others] += copies[i]
+        for j in others:
             a, b = root(i), root(int(j))
             if a != b:
                 parent[a] = b
                 found.append((i, int(j)))
-    return found
+    return found, degree
 
 
 def _verify(num: int, den: int):
+    """Blocks, in order -> (u, v, null), the links of a spanning forest, and (u, null, links), the copies that a node is linked with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, sides = None, [], [], []
-        u, v = [], []
+        key, nodes, sets, sides, copies = None, [], [], [], []
+        out: tuple[list, list, list] = ([], [], [])
 
         def close() -> None:
-            for i, j in links(sets, np.array(sides), num, den) if len(sets) > 1 else []:
-                u.append(nodes[i])
-                v.append(nodes[j])
+            found, degree = links(sets, np.array(sides), num, den, np.array(copies)) if len(sets) > 1 else ([], np.zeros(0, np.int64))
+            for i, j in found:
+                for col, x in zip(out, (nodes[i], nodes[j], None), strict=True):
+                    col.append(x)
+            for i in np.flatnonzero(degree):
+                for col, x in zip(out, (nodes[i], None, int(degree[i])), strict=True):
+                    col.append(x)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v", "n"])
+            for c in out:
+                c.clear()
+            return batch
 
         for b in batches:
-            blocks, ids, values, side = (b.column(c) for c in ("block", "node", "elements", "side"))
+            blocks, ids, values, side, times = (b.column(c) for c in ("block", "node", "elements", "side", "copies"))
             for i in range(b.num_rows):
                 if (now := blocks[i].as_py()) != key:
                     close()
-                    key, nodes, sets, sides = now, [], [], []
+                    key, nodes, sets, sides, copies = now, [], [], [], []
                 nodes.append(ids[i].as_py())
                 sets.append(values[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 sides.append(side[i].as_py())
-            if len(u) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-                u.clear()
-                v.clear()
+                copies.append(times[i].as_py())
+            if len(out[0]) > 10_000:
+                yield flush()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        yield flush()
 
     return run
 
@@ -306,17 +323,18 @@ def _elements(width: int):
                 rows = b.slice(lo, 500)
                 sets = [shingles(x, width).view(np.int64) for x in rows.column("text").to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("component"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "component", "elements"])
+                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("of"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "of", "elements"])
 
     return run
 
 
-def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of docs (doc_id, text).
+def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, degrees) of docs (doc_id, text; other columns, whatever their names, are not looked at).
 
-    members: one row a document, doc_id, node (the hash of its text; equal texts are one node), n_shingles. links:
-    (u, v), pairs of nodes with den * intersection >= num * union that span each component of all such pairs. Texts
-    without words (null, empty, blank) have no shingles and link with nothing; repeated rows are members each.
+    members: one row a document, doc_id, node (the hash of its text; equal texts are one node), n_shingles.
+    links: (u, v), pairs of nodes with den * intersection >= num * union that span each component of all such pairs. degrees: (node,
+    others), how many documents of other nodes a node is linked with, if any; every pair is counted. Texts without words (null,
+    empty, blank) have no shingles and link with nothing; repeated rows are members each; an empty table gives three.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -330,22 +348,22 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = D
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("key", "least")
     stars = keyed.join(shared, "key").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     blocks = written(components(stars))
-    sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = blocks.join(sizes, "component").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    # The texts of candidates: their nodes are sent to all tasks while few (20 bytes each), joined by shuffle beyond.
-    wanted = written(blocks.select("node", "component", "parts"))
-    texts = rows.select("node", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "node").dropDuplicates(["node"])
-    sets = texts.select("node", "component", "parts", "text")
-    elements = sets.select("node", F.struct("component", "parts").alias("component"), "text")
-    elements = elements.mapInArrow(_elements(width), elements.select("node", "component").schema.add("elements", T.ArrayType(T.LongType())))
-    elements = elements.select("node", "elements", F.col("component.component").alias("component"), F.col("component.parts").alias("parts"))
-    own = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int")
+    nodes = members.groupBy("node").agg(F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
+    blocks = written(blocks.join(nodes, "node"))
+    sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / ELEMENTS)).cast("int")
+    # The texts of candidates: their nodes are sent to all tasks while few (28 bytes each), joined by shuffle beyond.
+    wanted = written(blocks.join(sizes, "component").select("node", F.struct("component", parts.alias("parts"), "copies").alias("of")))
+    sets = rows.select("node", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "node").dropDuplicates(["node"]).select("node", "of", "text")
+    elements = sets.mapInArrow(_elements(width), sets.select("node", "of").schema.add("elements", T.ArrayType(T.LongType())))
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("of.parts")).cast("int")
     # Part a meets part b in block (a, b); a block of one part is (0, 0). Within a part all pairs are tested in (a, a).
-    dealt = elements.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "elements", (F.col("own") > F.col("other")).alias("side"))
+    dealt = elements.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of.parts") - 1)))
+    dealt = dealt.select(F.xxhash64("of.component", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "elements", (F.col("own") > F.col("other")).alias("side"), "of.copies")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = written(dealt.repartition(n, "block").sortWithinPartitions("block", "node").mapInArrow(_verify(num, den), "u long, v long"))
-    return members, found
+    found = written(dealt.repartition(n, "block").sortWithinPartitions("block", "node").mapInArrow(_verify(num, den), "u long, v long, n long"))
+    degrees = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    return members, found.filter("v is not null").select("u", "v"), degrees
 
 
 def groups(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -354,7 +372,14 @@ def groups(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document: the least doc_id that links reach, itself included (null if none has one)."""
-    rows = groups(*join(docs, **options))
-    least = rows.filter("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("_least"))
-    return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+    """doc_id, n_shingles, component_id and n_links of each document: the least doc_id that links reach, itself included (null if none has
+    one), and the number of other documents that it is linked with itself, copies of its text included."""
+    members, found, degrees = join(docs, **options)
+    rows = groups(members, found)
+    # What a node has is one row a node, joined to documents by node, which a large group of copies does not make wider.
+    nodes = rows.groupBy("node", "group").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"))
+    least = nodes.filter("size > 0").groupBy("group").agg(F.min("least").alias("_least"))
+    facts = nodes.join(least, "group").join(degrees, "node", "left").select("node", "_least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("_links"))
+    rows = members.join(facts, "node", "left")
+    worded = F.col("n_shingles") > 0
+    return rows.select("doc_id", "n_shingles", F.when(worded, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(worded, F.col("_links")).otherwise(0).cast("long").alias("n_links"))

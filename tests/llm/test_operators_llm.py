@@ -522,7 +522,7 @@ def brute_components(rows, num=90, den=100):
         return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
 
     sets = [shingles(t) for _, t, *_ in rows]
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while parent[i] != i:
@@ -533,15 +533,17 @@ def brute_components(rows, num=90, den=100):
         for j in range(i):
             if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, *_) in enumerate(rows):
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
-    return [(d, len(s), least.get(root(i)) if s else d) for i, ((d, *_), s) in enumerate(zip(rows, sets, strict=True))]
+    return [(d, len(s), least.get(root(i)) if s else d, n) for i, ((d, *_), s, n) in enumerate(zip(rows, sets, links, strict=True))]
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_jaccard_join(spark, block):
+@pytest.mark.parametrize(("block", "elements", "broadcast"), [(1024, 2_000_000, 1_000_000), (4, 2_000_000, 0), (1024, 700, 1_000_000)])
+def test_jaccard_join(spark, monkeypatch, block, elements, broadcast):
     rng = random.Random(11)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
     near = []
@@ -551,13 +553,11 @@ def test_jaccard_join(spark, block):
             w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
         near.append((3000 - i, " ".join(w) if i % 2 else "  ".join(w).upper(), "en", "s"))
     rows = [*corpus(11), *near, (600, "Aa bb", "en", "s"), (601, "aA  BB", "en", "s"), (602, "aa", "en", "s")]
-    jaccard_join.BLOCK, old = block, jaccard_join.BLOCK
-    try:
-        got = jaccard_join.linked(table(spark, rows).withColumn("node", F.lit("clash"))).collect()
-        assert sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(repr, brute_components(rows)))
-        assert jaccard_join.linked(table(spark, [])).count() == 0
-    finally:
-        jaccard_join.BLOCK = old
+    for name, value in (("BLOCK", block), ("ELEMENTS", elements), ("BROADCAST_NODES", broadcast)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = jaccard_join.linked(table(spark, rows).withColumns({c: F.lit("clash") for c in ("node", "n_shingles", "copies", "group")})).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got))) == sorted(map(repr, brute_components(rows)))
+    assert jaccard_join.linked(table(spark, [])).count() == 0
 
 
 def test_signatures_never_miss():

@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
     assert left == {r[0] for r in rows} - {4000 + i for i in range(0, 60, 3)}
     near = [(r.doc_id, r.text) for r in out["line_dedup"]]
     groups = collections.defaultdict(set)
-    for d, n, c in brute_components(near):
+    for d, n, c, _ in brute_components(near):
         groups[c if n else None].add(d)
     kept = {r.doc_id for r in out["near_dup"]}
     assert kept == {c for c in groups if c is not None} | groups[None]
