@@ -1,10 +1,14 @@
-"""Toxicity: noisy-channel deobfuscation, then a lexical score of the restored text.
+"""Toxicity: noisy-channel deobfuscation, then a linear model's score of the restored text.
 
 The channel: a letter may be written as a look-alike ("1d10t"), hidden by a star ("st*pid"), repeated ("loooser") or set
 apart from the next one ("s t u p i d", "s.c.u.m"). Every token that shows such signs becomes a lattice of what each of
 its characters may stand for; Viterbi finds the likeliest reading under a character trigram model counted over all
-documents. The features of a text are its words and their heads, as written and as restored; those that mark toxic
-labels add their log-odds to its score. Only the text enters a score.
+documents, exactly: no state is cut. Signs at the ends of a token may be letters or punctuation, so such a token is read both ways.
+A letter doubled only opens a lattice where a feature of the model could be in it.
+
+The features of a text are its words and their heads, as written and as restored. Those that are commoner or rarer in toxic documents than
+chance allows enter a logistic regression with an L2 penalty, in which near copies share one document's weight. Only the text
+enters a score.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,18 +33,26 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 #: Natural-log costs of the channel: a look-alike, a star, a separator left out or taken as a gap, any other sign so, a repeated letter left out.
 SUBSTITUTE, STAR, DROP, BREAK, LOSE, REPEAT = 0.7, 2.0, 1.0, 3.0, 12.0, 1.0
 SEPARATORS = " \t.,-_*'`~"
-#: Labelled documents to fit on, features of the model, toxic documents that a feature must be in, and the least share of toxic ones among those it is in.
-FIT_ROWS, FEATURES, LEAST_DOCS, LEAST_SHARE = 20_000, 500, 5, 0.9
+#: Labelled documents to fit on at most, families of documents that a feature must be in, standard deviations between its share of toxic
+#: documents and that of all, and the penalty of the squared weights.
+FIT_ROWS, LEAST_DOCS, DEVIATIONS, PENALTY = 20_000, 5, 3.0, 1.0
 THRESHOLD = 0.3
 HEADS = (4, 5, 6, 7, 8)
 N = len(LETTERS) + 1  # 0: anything between words
+#: Characters after which paths are followed back to where they part, so that what is settled can go; a longer run of one sign is read as so many.
+SETTLE, RUN = 512, 16
+CACHE, CACHED_LENGTH = 200_000, 40
 
 _word = re.compile(r"[^\W\d_]+")
-_any = re.compile(r"[0-9@$!|+(€£¥*.\-_]")
+_any = re.compile(r"[0-9@$!|+(€£¥*.,\-_'`~]")
 _thrice = re.compile(r"([^\W\d_])\1\1")
-_apart = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?:[ \t](?:[^\W_]|[@$!|+*])){2,}(?!\S)")
+_one = r"[\"'(\[{<.,:;!?-]{0,2}(?:[^\W_]|[@$!|+*(€£¥])[\"')\]}>.,:;!?-]{0,2}"
+_apart = re.compile(rf"(?<!\S){_one}(?:\s+{_one}){{2,}}(?!\S)")
 _run = re.compile(r"(.)\1+", re.S)
+_long = re.compile(r"(.)\1{%d,}" % RUN, re.S)
 _edge = "\"'.,;:?!()[]{}<>#%&*-_~`"
+_hull = _edge + "$|+@€£¥"  # signs that may be letters at an end, too
+_plain = "\"'.,;:?)[]{}<>#%&-_~`"  # signs that cannot
 
 
 def _codes() -> np.ndarray:
@@ -77,17 +90,18 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What executors need: log P(c | a, b), and the weights of features. Bounded by N and FEATURES, whatever the input."""
+    """What executors need: log P(c | a, b), and the weights of features. Bounded by N and the features of FIT_ROWS documents, whatever the input."""
 
     trigrams: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
     _log: list[float] | None = None
     _seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    _short: dict[str, str] | None = None
+    _known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    _short: tuple | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_log": None, "_seen": {}, "_short": None}
+        return self.__dict__ | {"_log": None, "_seen": {}, "_known": {}, "_short": None}
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Model:
@@ -99,79 +113,146 @@ class Model:
         return cls(np.log(p3).astype(np.float32).ravel())
 
     def restore(self, token: str) -> tuple[str, ...]:
-        """The words of the likeliest reading of one token (or run of single characters), lower-cased, and the
-        model's own word where they differ from it in doubled letters only."""
+        """The words of the likeliest readings of a token (or run of single characters), lower-cased: of what is between the signs at its
+        ends, and with those signs as letters, where they may be, or as letters or nothing.
+
+        The latter are left out where a plain word is followed by such signs and no feature of a fitted model goes on from that word."""
         if (known := self._seen.get(token)) is None:
-            if self._short is None:
-                self._short = {_run.sub(r"\1", w): w for w in self.weights if not w.endswith("-")}
-            known = self._viterbi(token)
-            known += tuple(self._short[c] for w in known if (c := _run.sub(r"\1", w)) in self._short and self._short[c] != w)
-            if len(token) <= 40:
-                if len(self._seen) > 300_000:
+            inner, core, known = token.strip(_edge), token.strip(_plain), ()
+            if inner and (not inner.isalpha() or _thrice.search(inner)):
+                known = self.viterbi(inner)
+            if core != token.strip(_hull):
+                lead = _word.match(core)
+                alone = lead and len(lead[0]) >= max(HEADS) and not core[lead.end() :].strip(_hull) and self.weights and _run.sub(r"\1", lead[0]) not in self._index()[3]
+                if not alone:
+                    known += self.viterbi(core) + self.viterbi(core, ends=True)
+            known = tuple(dict.fromkeys(known))
+            if len(token) <= CACHED_LENGTH:
+                if len(self._seen) >= CACHE:
                     self._seen.clear()
                 self._seen[token] = known
         return known
 
-    def _viterbi(self, token: str) -> tuple[str, ...]:
+    def viterbi(self, token: str, ends: bool = False) -> tuple[str, ...]:
+        """The words of the likeliest reading. ends: look-alike signs other than digits at either end may be left out like separators."""
         if self._log is None:
             self._log = self.trigrams.tolist()
-        log, best, back = self._log, {(0, 0): 0.0}, []
+        token = _long.sub(lambda m: m[0][:RUN], token)
+        log, best, back, out, settle = self._log, {0: 0.0}, [], [], SETTLE
+        loose = len(token) - len(token.lstrip(_hull)), len(token.rstrip(_hull))
+
+        def follow(state: int, until: int) -> int:
+            """Read the first `until` steps of the path to a state, as letters."""
+            path = []
+            for came in reversed(back[:until]):
+                state, c = came[state]
+                if c >= 0:
+                    path.append(c)
+            out.extend(reversed(path))
+            return state
+
+        before = ""
         for i, sign in enumerate(token):
-            code = _OF.get(sign, 0)
-            again = i > 0 and sign == token[i - 1]
+            code, again = _OF.get(sign, 0), sign == before
+            before = sign
+            if code and not again and len(best) == 1 and not back:  # a plain letter after a settled one
+                ((state, s),) = best.items()
+                best = {state % N * N + code: s + log[state * N + code]}
+                out.append(code)
+                continue
             if code:
                 ways = [(code, 0.0)]
             elif sign.isalpha():
                 ways = [(0, 0.0)]  # a letter of another script passes as a gap
             else:
                 cost = STAR if sign == "*" else SUBSTITUTE
-                ways = [(_OF[c], cost) for c in LOOKALIKES.get(sign, "")] + [(0, BREAK if sign in SEPARATORS or sign not in LOOKALIKES else LOSE)]
-            after: dict[tuple[int, int], float] = {}
-            came: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for (a, b), s in best.items():
+                gap = sign in SEPARATORS or sign not in LOOKALIKES
+                ways = [(_OF[c], cost) for c in LOOKALIKES.get(sign, "")] + [(0, BREAK if gap else LOSE)]
+            lost = REPEAT if again else DROP if sign in SEPARATORS or sign not in LOOKALIKES or (ends and not loose[0] <= i < loose[1]) else LOSE
+            after: dict[int, float] = {}
+            came: dict[int, tuple[int, int]] = {}
+            for state, s in best.items():
+                b = state % N
                 for c, cost in ways:
                     if c == 0 and b == 0:
-                        to, t = (a, b), s - cost
+                        to, t, c = state, s - cost, -1
                     else:
-                        to, t = (b, c), s - cost + log[(a * N + b) * N + c]
+                        to, t = b * N + c, s - cost + log[state * N + c]
                     if t > after.get(to, -1e18):
-                        after[to], came[to] = t, (a, b, c if to != (a, b) else -1)
-                t = s - (REPEAT if again else DROP if sign in SEPARATORS or sign not in LOOKALIKES else LOSE)
-                if (not code or again) and t > after.get((a, b), -1e18):
-                    after[a, b], came[a, b] = t, (a, b, -1)
-            if len(after) > 24:
-                after = dict(sorted(after.items(), key=lambda x: -x[1])[:24])
+                        after[to], came[to] = t, (state, c)
+                if (not code or again) and (t := s - lost) > after.get(state, -1e18):
+                    after[state], came[state] = t, (state, -1)
             best = after
             back.append(came)
-        state = max(best, key=lambda x: best[x] + (log[(x[0] * N + x[1]) * N] if x[1] else 0.0))
-        out = []
-        for came in reversed(back):
-            a, b, c = came[state]
-            if c >= 0:
-                out.append(LETTERS[c - 1] if c else " ")
-            state = (a, b)
-        return tuple("".join(reversed(out)).split())
+            if len(best) == 1:
+                follow(next(iter(best)), len(back))
+                back.clear()
+            elif len(back) >= settle:  # paths that have met before this stretch share all that lies behind
+                heads, at = set(best), len(back)
+                while at and len(heads) > 1:
+                    at -= 1
+                    heads = {back[at][h][0] for h in heads}
+                if len(heads) == 1:
+                    follow(next(iter(heads)), at)
+                    del back[:at]
+                settle = max(SETTLE, 2 * len(back))
+        state = max(best, key=lambda x: best[x] + (log[x * N] if x % N else 0.0))
+        follow(state, len(back))
+        return tuple("".join(LETTERS[c - 1] if c else " " for c in out).split())
+
+    def _index(self) -> tuple[dict[str, set[str]], set[int], set[int], set[str]]:
+        """The model's features by their letters without repetition (heads end in '-'), the lengths of such heads and of heads as they are,
+        and the beginnings of words among the former."""
+        if self._short is None:
+            short: dict[str, set[str]] = {}
+            for w in self.weights:
+                short.setdefault(_run.sub(r"\1", w), set()).add(w)
+            begin = {x[:n] for x in short for n in range(1, len(x) + 1) if not x.endswith("-")}
+            self._short = short, {len(x) - 1 for x in short if x.endswith("-")}, {len(x) - 1 for x in self.weights if x.endswith("-")}, begin
+        return self._short
 
     def words(self, text: str | None) -> set[str]:
         """The words of a text, as written and as restored."""
         low = (text or "").lower()
-        found = set(_word.findall(low))
-        for t in odd_tokens(low):
+        tokens = set(low.split())
+        found = {t for t in tokens if t.isalpha()}
+        rest = tokens - found
+        odd = list(odd_tokens(rest))
+        if _thrice.search(low):
+            odd += filter(_thrice.search, found)
+        found.update(_word.findall(" ".join(rest)))
+        for t in odd:
             found.update(self.restore(t))
         for m in _apart.findall(low):
-            found.update(self.restore(m))
+            found.update(self.restore(" ".join(m.split())))
         return found
 
     def features(self, text: str | None) -> set[str]:
         words = self.words(text)
         return words | {f"{w[:n]}-" for n in HEADS for w in words if len(w) >= n}
 
+    def _features_of(self, word: str) -> tuple[str, ...]:
+        """The model's features in a word. One that it is but for letters doubled counts, and so do those of its reading then."""
+        short, lengths, heads, _ = self._index()
+        hit = [x for x in (word, *(f"{word[:n]}-" for n in heads if n <= len(word))) if x in self.weights]
+        if (c := _run.sub(r"\1", word)) != word and (own := [short[x] for x in (c, *(f"{c[:n]}-" for n in lengths)) if x in short]):
+            hit += [x for y in own for x in y]
+            for w in self.viterbi(word):
+                hit += [x for x in (w, *(f"{w[:n]}-" for n in heads if n <= len(w))) if x in self.weights]
+        return tuple(hit)
+
     def present(self, text: str | None) -> list[str]:
         """The model's features in a text, sorted, so that a score is summed in one order."""
-        words = self.words(text)
-        hit = words & self.weights.keys()
-        for n in HEADS:
-            hit |= {f"{w[:n]}-" for w in words if len(w) >= n} & self.weights.keys()
+        known, hit = self._known, set()
+        for w in self.words(text) if self.weights else ():
+            if (own := known.get(w)) is None:
+                own = self._features_of(w)
+                if len(w) <= CACHED_LENGTH:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[w] = own
+            if own:
+                hit.update(own)
         return sorted(hit)
 
     def score(self, text: str | None) -> float:
@@ -179,18 +260,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, s))))
 
 
-def odd_tokens(low: str) -> Iterator[str]:
-    """Tokens of a lower-cased text, less the signs around them, that hold letters and a sign of the channel, or a letter three times on end."""
-    for t in set(low.split()):
-        if t.isalpha():
-            if len(t) > 3 and _thrice.search(t):
-                yield t
-            continue
-        core = t.strip(_edge)
-        if core and not core.isalpha():
-            if _any.search(core) and _word.search(core):
+def odd_tokens(tokens: set[str]) -> Iterator[str]:
+    """Of lower-cased tokens, less plain punctuation at their ends, those that hold letters and a sign of the channel, or a letter three times on end."""
+    for t in tokens:
+        core = t.strip(_plain)
+        if core.isalpha():
+            if _thrice.search(core):
                 yield core
-        elif _thrice.search(core):
+        elif (_any.search(core) or _thrice.search(core)) and _word.search(core):
             yield core
 
 
@@ -207,66 +284,85 @@ def counted(docs: DataFrame, model: Model) -> DataFrame:
     return rows.groupBy("feature").agg(F.sum("toxic").alias("marked"), F.count(F.lit(1)).alias("docs"))
 
 
-def counted_by_family(docs: DataFrame, model: Model, candidates: set[str]) -> DataFrame:
-    """(feature, marked, docs) of candidates: families of documents that have them, and those of them with toxic documents alone.
-
-    A family shares the least hash of its five-word shingles, as near copies mostly do: many copies of one text are no more evidence than one.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                names = list(model.features(x) & candidates)
-                words = (x or "").split()
-                family = min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([family] * len(names), pa.int64()), pa.array([int(y > 0)] * len(names), pa.int64())], names=["feature", "family", "toxic"])
-
-    rows = docs.select("text", "toxic").mapInArrow(run, "feature string, family long, toxic long")
-    return rows.groupBy("feature", "family").agg(F.min("toxic").alias("toxic")).groupBy("feature").agg(F.sum("toxic").alias("marked"), F.count(F.lit(1)).alias("docs"))
+def family(text: str | None) -> int:
+    """The least hash of a text's five-word shingles, which near copies mostly share: many copies of one text are no more evidence than one."""
+    words = (text or "").split()
+    return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
+
+
+def logistic(rows: list[list[int]], toxic: np.ndarray, weight: np.ndarray, n: int, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of n binary features and the bias that minimise weighted log loss + penalty / 2 * |weights|^2, by accelerated gradient descent."""
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    of = np.array([x for r in rows for x in r], np.int64)
+    w, b = np.zeros(n + 1), None
+    share = min(max(float((weight * toxic).sum() / weight.sum()), 1e-3), 1 - 1e-3)
+    w[n] = math.log(share / (1 - share))
+    # Step sizes by feature: a quarter of what its rows could add to the curvature at most.
+    width = np.bincount(at, minlength=len(rows)) + 1.0
+    curve = np.append(np.bincount(of, (weight * width)[at], n), (weight * width).sum()) / 4 + penalty
+    ahead, speed = w.copy(), 1.0
+    for _ in range(rounds):
+        s = np.bincount(at, ahead[of], len(rows)) + ahead[n]
+        gap = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - toxic)
+        slope = np.append(np.bincount(of, gap[at], n) + penalty * ahead[:n], gap.sum())
+        new = ahead - slope / curve
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        if float(slope @ (new - w)) > 0:  # uphill: start anew from here
+            faster = 1.0
+        ahead, w, speed = new + (speed - 1) / faster * (new - w) * (faster > 1), new, faster
+    return w[:n], float(w[n])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The character model of all docs, and weights from at most fit_rows of the labelled ones (labels: doc_id, toxic).
 
-    The labelled rows are those of least md5(doc_id), so that every run takes the same; null labels and ids are left out,
-    and a document labelled twice counts as toxic if any label says so. Without labels, or without marks, every score is
-    the share of toxic labels (0.01 at least).
+    The labelled rows are those of least md5(doc_id), so that every run takes the same; null labels and ids are left out, and a document
+    labelled twice counts as toxic if any label says so. What the driver gathers of them is a list of feature numbers a document, bounded
+    by fit_rows. Without labels, or without features, every score is the share of toxic labels (0.01 at least).
     """
     model = Model.of(trigram_counts(docs))
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     known = written(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows))
     # known has fit_rows rows at most, a proven bound. Copies of a text count once, so that no large group makes marks of its own.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    sample = written(sample)
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if(F.col("toxic") > 0), F.lit(0)).alias("t")).first()
     n, t = int(total.n), int(total.t)
     base = min(max((t + 0.5) / (n + 1), 0.01), 0.25) if n else 0.01
-    share = (F.col("marked") + 0.5) / (F.col("docs") + 1.0)
-    strength = share * F.sqrt("marked")
-    some = counted(sample, model).filter((F.col("marked") >= LEAST_DOCS) & (share >= 0.5))
-    candidates = {r.feature for r in some.orderBy(F.desc(strength), "feature").select("feature").limit(8 * FEATURES).collect()}
-    best = counted_by_family(sample, model, candidates).filter((F.col("marked") >= LEAST_DOCS) & (share >= LEAST_SHARE))
-    names, odds = [], {}
-    for r in best.orderBy(F.desc(strength), F.desc(F.length("feature")), "feature").limit(8 * FEATURES).collect():
-        core = r.feature.rstrip("-")
-        if len(names) < FEATURES and not any(core.startswith(x) or x.startswith(core) for x in odds):  # a word and its heads count once
-            names.append(r.feature)
-            odds[core] = math.log((r.marked + 0.5) / (r.docs - r.marked + 0.5))
-    model.weights = dict.fromkeys(names, 0.0)
+    model.bias = math.log(base / (1 - base))
+    if not t:
+        return model
+    share, seen = t / n, F.col("docs")
+    apart = (F.col("marked") - seen * share) * (F.col("marked") - seen * share) >= DEVIATIONS**2 * seen * share * (1 - share)
+    names = sorted(r.feature for r in counted(sample, model).filter((seen >= LEAST_DOCS) & apart).select("feature").collect())  # of fit_rows documents
+    number = {x: i for i, x in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([bool(model.present(x)) for x in b.column(0).to_pylist()]), b.column(1)], names=["any", "toxic"])
-
-    # The bias is the log-odds of a document without a mark; a lone mark brings a document to the log-odds of those that bear it.
-    bare = sample.mapInArrow(run, "any boolean, toxic int").filter("not any").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    model.bias = max(-5.0, min(math.log(base / (1 - base)), math.log((bare.t + 0.5) / (bare.n - bare.t + 0.5))))
-    model.weights = {f: max(0.0, o - model.bias) for f, o in zip(names, odds.values(), strict=True)}
+            texts = b.column(0).to_pylist()
+            found = [sorted(number[x] for x in model.features(t) & number.keys()) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([family(t) for t in texts], pa.int64()), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["family", "toxic", "found"])
+
+    rows = sorted(map(tuple, sample.select("text", "toxic").mapInArrow(run, "family long, toxic long, found array<int>").collect()))
+    families = Counter(r[0] for r in rows)
+    of = [set() for _ in names]
+    for r in rows:
+        for x in r[2]:
+            of[x].add(r[0])
+    kept = [i for i, own in enumerate(of) if len(own) >= LEAST_DOCS]
+    place = {i: k for k, i in enumerate(kept)}
+    if kept:
+        found = [[place[x] for x in r[2] if x in place] for r in rows]
+        weights, model.bias = logistic(found, np.array([r[1] > 0 for r in rows], float), np.array([1 / families[r[0]] for r in rows]), len(kept))
+        model.weights = {names[i]: float(w) for i, w in zip(kept, weights, strict=True)}
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on). Null and empty texts get the score of no marks."""
+    """docs with score (0 to 1) and predicted (1 from THRESHOLD on); columns of these names are replaced, others stay.
+
+    Null and empty texts get the score of no features; texts may be of any length, and a token of any length is read in memory that does not
+    grow with it but for its letters. Repeated rows stay, with one score; an empty table stays empty.
+    """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -418,20 +418,108 @@ def test_toxicity(spark):
             t.insert(rng.randrange(len(t)), rng.choice(bad))
         rows.append((i, " ".join(t), "en", "s"))
         labels.append((i, int(i % 4 == 0)))
-    hidden = ["st*pid", "m0r0n", "w o r t h l e s s", "stuuuupid", "s.t.u.p.i.d", "$tup1d", "MORON", "worthl3ss!"]
+    hidden = ["st*pid", "m0r0n", "w o r t h l e s s", "stuuuupid", "s.t.u.p.i.d", "$tup1d", "MORON", "worthl3ss!", "s,t,u,p,i,d", "s~t~u~p~i~d", "m'o'r'o'n", "stuupid", "mmorronn", "s  t \t u\np i d", "s t u p i d.", '"s t u p i d"', "(moron)", "$tupid", "m0r0n!!"]
     rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(20)) + f" {x} " + rng.choice(words), "en", "s") for i, x in enumerate(hidden)]
-    rows += [(2000 + i, x, "en", "s") for i, x in enumerate(["", " \n", None, "12345 +1 (555) 010-2000 *** $$$", "z" * 20_000, "1a" * 3000, rng.choice(words) + " 3.14 a b c"])]
+    rows += [(2000 + i, x, "en", "s") for i, x in enumerate(["", " \n", None, "12345 +1 (555) 010-2000 *** $$$", "z" * 20_000 + " " + "a1!" * 9000, "1a" * 3000, rng.choice(words) + " 3.14 a b c"])]
     df = table(spark, rows).withColumn("score", F.lit("clash"))
     model = toxicity.fit(df, spark.createDataFrame([*labels, (None, 1), (3, None), (4, 0)], "doc_id long, toxic int"))
     got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
     assert all(got[i] == int(i % 4 == 0) for i in range(600)) and all(got[1000 + i] for i in range(len(hidden))), [x for i, x in enumerate(hidden) if not got[1000 + i]]
     assert not any(got[2000 + i] for i in range(7))
+    longs = toxicity.fit(df, spark.createDataFrame([*labels, (None, 1), (3, None), (4, 0)], "doc_id long, toxic long"))
+    assert longs.weights == model.weights and longs.bias == model.bias
+    for r in toxicity.score(df, model).collect()[::7]:  # the score by hand: features one by one, without tables or caches
+        words, hit = model.words(r.text), set()
+        for w in words:
+            for x in (w, *(w[:n] + "-" for n in toxicity.HEADS if len(w) >= n)):
+                hit |= {x} & model.weights.keys()
+        short = lambda x: re.sub(r"(.)\1+", r"\1", x)
+        for w in words:
+            if (c := short(w)) != w:
+                same = {f for f in model.weights if short(f) in (c, *(c[:n] + "-" for n in range(1, len(c) + 1)))}
+                if same:
+                    hit |= same | {x for v in model.viterbi(w) for x in (v, *(v[:n] + "-" for n in toxicity.HEADS if len(v) >= n)) if x in model.weights}
+        assert abs(r.score - 1 / (1 + math.exp(-model.bias - sum(model.weights[x] for x in hit)))) < 1e-9
     plain = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(0 <= r.score < 0.3 for r in toxicity.score(df, plain).collect()) and toxicity.score(df.limit(0), plain).count() == 0
     ids = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").withColumn("h", toxicity.held_out("doc_id"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in ids.collect())
 
 
+def brute_reading(log, token):
+    """The least cost of all readings of a short token, and those that have it, by trying every choice for every character."""
+    n, found = toxicity.N, []
+
+    def walk(i, a, b, cost, letters):
+        if i == len(token):
+            found.append((cost - (log[(a * n + b) * n] if b else 0.0), tuple(letters)))
+            return
+        sign, code = token[i], toxicity._OF.get(token[i], 0)
+        again, gap = i > 0 and sign == token[i - 1], sign in toxicity.SEPARATORS or sign not in toxicity.LOOKALIKES
+        if code:
+            ways = [(code, 0.0)]
+        elif sign.isalpha():
+            ways = [(0, 0.0)]
+        else:
+            ways = [(toxicity._OF[c], toxicity.STAR if sign == "*" else toxicity.SUBSTITUTE) for c in toxicity.LOOKALIKES.get(sign, "")] + [(0, toxicity.BREAK if gap else toxicity.LOSE)]
+        for c, price in ways:
+            if c == 0 and b == 0:
+                walk(i + 1, a, b, cost + price, letters)
+            else:
+                walk(i + 1, b, c, cost + price - log[(a * n + b) * n + c], [*letters, c])
+        if not code or again:
+            walk(i + 1, a, b, cost + (toxicity.REPEAT if again else toxicity.DROP if gap else toxicity.LOSE), letters)
+
+    walk(0, 0, 0, 0.0, [])
+    return min(found)[0], {x for c, x in found if c < min(found)[0] + 1e-6}
+
+
+def test_viterbi_is_exact(monkeypatch):
+    rng = random.Random(90)
+    counts = np.random.default_rng(90).integers(0, 50, toxicity.N**3) * (np.random.default_rng(91).random(toxicity.N**3) < 0.05)
+    model = toxicity.Model.of(counts)
+    log = model.trigrams.tolist()
+    for settle in (toxicity.SETTLE, 2):
+        monkeypatch.setattr(toxicity, "SETTLE", settle)
+        for _ in range(80):
+            token = "".join(rng.choice("aab1!*0. -6я") for _ in range(rng.randint(1, 6)))
+            _, best = brute_reading(log, token)
+            words = {tuple("".join(toxicity.LETTERS[c - 1] if c else " " for c in x).split()) for x in best}
+            assert model.viterbi(token) in words
+
+
+def test_tokens_of_a_megabyte():
+    import time
+    import tracemalloc
+
+    model = toxicity.Model.of(np.random.default_rng(9).integers(0, 5, toxicity.N**3))
+    for unit in ("1a", "z", "*", "a!", "1"):
+        tracemalloc.start()
+        began, peaks = time.time(), []
+        for size in (10_000, 20_000):
+            tracemalloc.reset_peak()
+            model.viterbi(unit * (size // len(unit)))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert time.time() - began < 60 and max(peaks) < 20_000_000, (unit, peaks)
+    model._log, began = None, time.time()
+    model.score("a1" * 500_000)
+    assert time.time() - began < 60
+
+
+def test_logistic_is_at_its_least():
+    rng = np.random.default_rng(9)
+    rows = [sorted(set(rng.integers(0, 12, rng.integers(0, 5)).tolist())) for _ in range(400)]
+    toxic = np.array([float(rng.random() < (0.8 if 3 in r else 0.2)) for r in rows])
+    weight = rng.random(400) + 0.1
+    w, b = toxicity.logistic(rows, toxic, weight, 12, 0.5, 3000)
+    x = np.zeros((400, 12))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    gap = weight * (1 / (1 + np.exp(-(x @ w + b))) - toxic)
+    assert np.abs(x.T @ gap + 0.5 * w).max() < 1e-5 and abs(gap.sum()) < 1e-5 and w[3] > 1
+
+
 # 9: packing
 
 
