@@ -4,10 +4,17 @@ Every window of LEAST bytes is named by the least hash of its SEED-byte strings,
 Runs of windows of one name are items (368 bytes at most). Only items whose name is found twice are cut out, once a task for equal
 ones, and dealt by name: equal windows meet in one block, and a block holds distinct items only, with how often each is there.
 
-In a block, suffixes of at least LEAST bytes whose first LEAST bytes recur with unlike left neighbours are sorted into a
-suffix array with the common prefixes of neighbours. A stack scan over it visits the common-prefix interval tree; every
-interval whose left extensions differ is a maximal repeat group, given with all its occurrences. An item that is there
+dedup wants what repeats cover, which items tell by themselves. In a block, suffixes of at least LEAST bytes whose first LEAST bytes recur
+with unlike left neighbours are sorted into a suffix array with the common prefixes of neighbours. A stack scan over it visits the
+common-prefix interval tree; every interval whose left extensions differ is a repeat group inside its items. An item that is there
 more than once is a group of its own. A block of over BLOCK bytes is settled window by window, spread over the cluster.
+
+repeats wants the groups themselves, whole: of any length, with all occurrences. Blocks give the places where a group may start: windows that
+recur with unlike left neighbours, one class of equal windows each. A class is then followed to the right in rounds, each with twice the bytes
+of the one before: its stretches are sorted into a suffix array, the stack scan outputs the intervals that are left-diverse and
+end inside, and members that agree all along go on as a class of their own. A class of over CLASS bytes is split without meeting in one task:
+a minimum finds what all its members share, which is a group if it is left-diverse, and the next byte deals them to its children.
+The groups are the same whichever way a class goes.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from corpusmill.llm.common import written
 LEAST, SEED = 200, 32
 #: Bytes of distinct items that one block may hold; bytes that a task sorts at once.
 BLOCK, CHUNK = 2_000_000, 1_000_000
+#: Bytes of a class's stretches that one task may sort.
+CLASS = 16_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(2**24 - 1)
@@ -183,8 +192,18 @@ def _name(least: int, seed: int):
 _CUT = "node long, start int, item binary, name long, bytes binary, times long"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences (node, start, item), each once a task and node, and items (item, name, bytes, times), each once a flush."""
+def _cut(led: bool):
+    """Occurrences (node, start, item), each once a task and node, and items (item, name, bytes, times), each once a flush.
+
+    led: the bytes of an item begin with how many bytes stand before it (0 or 1), and those bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut_out(batches, led)
+
+    return run
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch], led: bool) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
     names = [x.split()[0] for x in _CUT.split(", ")]
     items: dict[bytes, list] = {}
@@ -209,7 +228,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, own = text.encode(), []
             s = wanted.values
             for start, size, name in zip(s.field(0).to_pylist(), s.field(1).to_pylist(), s.field(2).to_pylist(), strict=True):
-                piece = raw[start : start + size]
+                piece = (bytes([start > 0]) + raw[max(start - 1, 0) : start + size]) if led else raw[start : start + size]
                 item = hashlib.blake2b(piece, digest_size=16).digest()
                 if (known := items.get(item)) is None:
                     items[item] = [name, piece, 1]
@@ -220,6 +239,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for col, value in zip(rows, (node, start, item), strict=True):
                     col.append(value)
             nodes[node] = own
+            held += 200 + 50 * len(own)  # what stays of a text until the next flush
         n = len(rows[0])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*rows, [None] * n, [None] * n, [None] * n), kinds, strict=True)], names=names)
         if held > 64_000_000:
@@ -230,44 +250,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _scan(least: int, chunk: int, cover: bool):
-    """Blocks in order of name -> (item, offset, length, grp): the spans of each item that groups cover, or every occurrence of every group."""
+def _blocks(chunk: int, close):
+    """Items in order of name -> what `close` makes of the distinct items (bytes, times) of whole names, `chunk` bytes or more at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: dict[bytes, list] = {}
         held, last = 0, None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            keys, pieces = list(items), [x[0] for x in items.values()]
-            ends = np.cumsum([len(x) for x in pieces])
-            begin = ends - [len(x) for x in pieces]
-            depth = np.zeros(int(ends[-1]) + 1 if keys else 1, np.int64)
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for length, places in repeat_groups(pieces, [x[1] for x in items.values()], least) if keys else ():
-                if cover:
-                    depth[places] += 1
-                    depth[places + length] -= 1
-                    continue
-                of = np.searchsorted(ends, places, side="right")
-                one = pieces[of[0]][places[0] - begin[of[0]] :][:length]
-                grp = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                for col, v in zip(out, ([keys[i] for i in of], (places - begin[of]).tolist(), [length] * len(of), [grp] * len(of)), strict=True):
-                    col.extend(v)
-            if cover and keys:
-                on = np.cumsum(depth[:-1]) > 0
-                edge = np.zeros(len(on), bool)
-                edge[begin] = True  # runs end with their item
-                opens = np.flatnonzero(on & (edge | ~np.concatenate(([False], on[:-1]))))
-                closes = np.flatnonzero(on & np.concatenate((edge[1:] | ~on[1:], [True]))) + 1
-                of = np.searchsorted(ends, opens, side="right")
-                out = ([keys[i] for i in of], (opens - begin[of]).tolist(), (closes - opens).tolist(), [0] * len(of))
-            items.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["item", "offset", "length", "grp"])
-
         for b in batches:
             for item, name, piece, times in zip(*(b.column(c).to_pylist() for c in ("item", "name", "bytes", "times")), strict=True):
                 if name != last and held > chunk:
-                    yield from close()
+                    yield close(items)
+                    items.clear()
                     held = 0
                 last = name
                 if (known := items.get(item)) is None:
@@ -275,11 +268,69 @@ def _scan(least: int, chunk: int, cover: bool):
                     held += len(piece)
                 else:
                     known[1] += times
-        yield from close()
+        yield close(items)
 
     return run
 
 
+def _covered(least: int):
+    """(item, offset, length) of the spans of each item that repeat groups cover."""
+
+    def close(items: dict[bytes, list]) -> pa.RecordBatch:
+        keys, pieces = list(items), [x[0] for x in items.values()]
+        out: tuple = ([], [], [])
+        if keys:
+            ends = np.cumsum([len(x) for x in pieces])
+            begin = ends - [len(x) for x in pieces]
+            depth = np.zeros(int(ends[-1]) + 1, np.int64)
+            for length, places in repeat_groups(pieces, [x[1] for x in items.values()], least):
+                depth[places] += 1
+                depth[places + length] -= 1
+            on = np.cumsum(depth[:-1]) > 0
+            edge = np.zeros(len(on), bool)
+            edge[begin] = True  # runs end with their item
+            opens = np.flatnonzero(on & (edge | ~np.concatenate(([False], on[:-1]))))
+            closes = np.flatnonzero(on & np.concatenate((edge[1:] | ~on[1:], [True]))) + 1
+            of = np.searchsorted(ends, opens, side="right")
+            out = ([keys[i] for i in of], (opens - begin[of]).tolist(), (closes - opens).tolist())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["item", "offset", "length"])
+
+    return close
+
+
+_START = "item binary, offset int, before int, class long"
+
+
+def _starting(least: int, whole: bool = True):
+    """(item, offset, before, class) of the windows that recur with unlike left neighbours: the byte before each, -1 where the text begins.
+
+    whole: the items are all that have their names. If not, every window comes, with times."""
+
+    def close(items: dict[bytes, list]) -> pa.RecordBatch:
+        bodies, leads = [x[0][1:] for x in items.values()], np.array([x[0][0] for x in items.values()], np.int64)
+        times, sizes = np.array([x[1] for x in items.values()], np.int64), np.array([len(x) for x in bodies], np.int64)
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        counts = np.maximum(sizes - leads - least + 1, 0)
+        at = np.repeat(begin + leads - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        text = np.frombuffer(b"".join(bodies), np.uint8)
+        key = window_hashes(text, least)[at] if len(at) else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(bodies)), counts)
+        left = np.where(at == begin[of], -1, text[at - 1].astype(np.int64)) if len(at) else at
+        if whole and len(at):
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+            low, high, many = np.minimum.reduceat(left[order], first), np.maximum.reduceat(left[order], first), np.add.reduceat(times[of][order], first)
+            own = np.repeat((many > 1) & ((low < 0) | (low < high)), np.diff(np.append(first, len(order))))
+            at, key, of, left = (x[order[own]] for x in (at, key, of, left))
+        keys = np.array(list(items), object)
+        columns = [pa.array(keys[of] if len(of) else [], pa.binary()), pa.array((at - begin[of] - leads[of]) if len(of) else [], pa.int32()), pa.array(left, pa.int32()), pa.array(key.view(np.int64))]
+        columns += [] if whole else [pa.array(times[of] if len(of) else [], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["item", "offset", "before", "class", "times"][: len(columns)])
+
+    return close
+
+
 def _windows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,42 +342,183 @@ def _windows(least: int):
     return run
 
 
-def _found(docs: DataFrame, least: int, seed: int, block: int, cover: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs keyed by node (hash of the text), occurrences (node, start, item), and what the scan found of items."""
+def _items(docs: DataFrame, least: int, seed: int, block: int, led: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """docs keyed by node (hash of the text), occurrences (node, start, item), the items of blocks, by name, and those of large blocks, if any."""
     spark = docs.sparkSession
     keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("node", F.xxhash64("text"))
     rows = keyed.select("node", "text")
     named = written(rows.mapInArrow(_name(least, seed), "name long, node long, start int, size int, seeds int"))
     twice = named.groupBy("name").agg(F.sum("seeds").alias("n")).filter("n > 1").select("name")
     wanted = named.join(twice, "name").groupBy("node").agg(F.collect_set(F.struct("start", "size", "name")).alias("wanted"))  # bounded by the length of a text
-    cut = written(rows.join(wanted, "node").select("node", "text", "wanted").mapInArrow(_cut, _CUT))
+    cut = written(rows.join(wanted, "node").select("node", "text", "wanted").mapInArrow(_cut(led), _CUT))
     occurrences = cut.filter("node is not null").select("node", "start", "item").distinct()
     items = cut.filter("bytes is not null").select("item", "name", "bytes", "times")
     large = written(items.groupBy("name").agg(F.sum(F.octet_length("bytes")).alias("n")).filter(F.col("n") > block).select("name"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fields = T.StructType().add("item", T.BinaryType()).add("offset", T.IntegerType()).add("length", T.IntegerType()).add("grp", T.LongType())
     some = not large.isEmpty()
-    usual = items.join(large, "name", "left_anti") if some else items
-    found = usual.repartition(n, "name").sortWithinPartitions("name").mapInArrow(_scan(least, CHUNK, cover), fields)
-    if some:
-        # The rest, exactly: windows of large blocks, by 128-bit digest, combined before the shuffle.
-        spread = items.join(large, "name", "left_semi").groupBy("item").agg(F.sum("times").alias("times"), F.max("bytes").alias("bytes"))
-        spread = written(spread.mapInArrow(_windows(least), "item binary, offset int, window binary, times long"))
-        again = spread.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window")
-        hits = spread.join(again, "window").select("item", "offset", F.lit(least).alias("length"), (F.lit(0) if cover else F.xxhash64("window")).cast("long").alias("grp"))
-        found = found.unionByName(hits)
+    usual = (items.join(large, "name", "left_anti") if some else items).repartition(n, "name").sortWithinPartitions("name")
+    # Of large blocks, each item once; their windows are then combined before they are shuffled.
+    spread = items.join(large, "name", "left_semi").groupBy("item").agg(F.lit(0).cast("long").alias("name"), F.max("bytes").alias("bytes"), F.sum("times").alias("times")) if some else None
+    return keyed, occurrences, usual, spread
+
+
+def _found(docs: DataFrame, least: int, seed: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs keyed by node, occurrences, and (item, offset, length) of what repeat groups cover of items."""
+    keyed, occurrences, usual, spread = _items(docs, least, seed, block, False)
+    found = usual.mapInArrow(_blocks(CHUNK, _covered(least)), "item binary, offset int, length int")
+    if spread is not None:  # exactly, by 128-bit digests of windows
+        each = written(spread.mapInArrow(_windows(least), "item binary, offset int, window binary, times long"))
+        again = each.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window")
+        found = found.unionByName(each.join(again, "window").select("item", "offset", F.lit(least).alias("length")))
     return keyed, occurrences, found
 
 
-def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(grp, length, node, start): all occurrences of every maximal repeat group of docs (text), as bytes of UTF-8.
+def _starts(docs: DataFrame, least: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """docs keyed by node, and (class, node, start, before) of the places where a group may start."""
+    keyed, occurrences, usual, spread = _items(docs, least, seed, block, True)
+    found = usual.mapInArrow(_blocks(CHUNK, _starting(least)), _START)
+    if spread is not None:
+        each = written(spread.mapInArrow(_blocks(CHUNK, _starting(least, False)), _START + ", times long"))
+        unlike = each.groupBy("class").agg(F.sum("times").alias("n"), F.min("before").alias("low"), F.max("before").alias("high")).filter("n > 1 and (low < 0 or low < high)")
+        found = found.unionByName(each.drop("times").join(unlike.select("class"), "class", "left_semi"))
+    return keyed, found.join(occurrences, "item").select("class", "node", (F.col("start") + F.col("offset")).alias("start"), "before")
+
+
+_MEMBER = "class long, node long, start int, before int, copies long, depth int"
+_STRETCH = _MEMBER + ", stretch binary"
+_OUT = _MEMBER + ", length int, least long"
 
-    node is the hash of the text (xxhash64), so copies of a text are one node. Groups are maximal inside items; longer repeats
-    come as overlapping groups. An item that is there more than once is a group; its copies are occurrences at other nodes, or
-    copies of the node itself.
+
+def _stretches(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _MEMBER.split(", ")]
+        for b in batches:
+            for text, own in zip(b.column("text"), b.column("own"), strict=True):
+                raw, s = text.as_py().encode(), own.values
+                at = (s.field("start").to_numpy().astype(np.int64) + s.field("depth").to_numpy()).tolist()
+                yield pa.RecordBatch.from_arrays([*(s.field(c) for c in names), pa.array([raw[i : i + span] for i in at], pa.binary())], names=[*names, "stretch"])
+
+    return run
+
+
+def _hashes(node: list[int], start: list[int]) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(f"{a}:{b}".encode(), digest_size=8).digest(), "little", signed=True) for a, b in zip(node, start, strict=True)]
+
+
+def _follow(span: int, least: int):
+    """Classes, in order -> (member, length, least): the members of each group that ends in its stretch (least: of its members' hashes, which names
+    it), and with a null length those that agree all along, of their new class and depth."""
+    names = [x.split()[0] for x in _STRETCH.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple = tuple([] for _ in kinds)
+
+        def put(member: tuple, cls: int, depth: int, length: int | None, name: int | None) -> None:
+            for col, x in zip(out, (cls, *member[1:5], depth, length, name), strict=True):
+                col.append(x)
+
+        def close(rows: list[tuple]) -> None:
+            if not rows:
+                return
+            cls, depth = rows[0][0], rows[0][5]
+            rows = sorted((m for r in rows for m in [r] * min(r[4], 2)), key=lambda r: r[6])  # a copied text is there twice
+            text, before = [r[6] for r in rows], [r[3] if r[3] >= 0 else -1 - i for i, r in enumerate(rows)]
+            hashes = _hashes([r[1] for r in rows], [r[2] for r in rows])
+            prefix = [-1, *(_common(a, b, 0) for a, b in zip(text, text[1:], strict=False)), -1]
+            breaks = [0]
+            for a, b in zip(before, before[1:], strict=False):
+                breaks.append(breaks[-1] + (a != b))
+            stack: list[tuple[int, int]] = []
+            for i in range(1, len(rows) + 1):
+                lcp, low = prefix[i], i - 1
+                while stack and stack[-1][0] > lcp:
+                    length, low = stack.pop()
+                    if breaks[i - 1] == breaks[low]:
+                        continue
+                    members = dict(zip(hashes[low:i], rows[low:i], strict=True))
+                    if length < span:
+                        for m in members.values():
+                            put(m, cls, depth, depth + length, min(members))
+                    else:
+                        new = int.from_bytes(hashlib.blake2b(text[low], digest_size=8, key=cls.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+                        for m in members.values():
+                            put(m, new, depth + span, None, None)
+                if lcp >= max(0, least - depth) and (not stack or stack[-1][0] < lcp):
+                    stack.append((lcp, low))
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[*names[:6], "length", "least"])
+            for c in out:
+                c.clear()
+            return batch
+
+        rows: list[tuple] = []
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if rows and rows[-1][0] != r[0]:
+                    close(rows)
+                    rows = []
+                    if len(out[0]) > 100_000:
+                        yield flush()
+                rows.append(r)
+        close(rows)
+        yield flush()
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each stretch has in common with its class's least one, and the hash of its member."""
+    for b in batches:
+        n = [_common(x, y, 0) for x, y in zip(b.column("stretch").to_pylist(), b.column("one").to_pylist(), strict=True)]
+        own = _hashes(b.column("node").to_pylist(), b.column("start").to_pylist())
+        yield pa.RecordBatch.from_arrays([*(b.column(x.split()[0]) for x in _STRETCH.split(", ")), pa.array(n, pa.int32()), pa.array(own, pa.int64())], names=[*(x.split()[0] for x in _STRETCH.split(", ")), "same", "hash"])
+
+
+def _split(rows: DataFrame, span: int, least: int) -> DataFrame:
+    """_follow for classes that no task can hold: one node of the interval tree a round, by aggregates and joins alone."""
+    one = rows.groupBy("class").agg(F.min("stretch").alias("one"))
+    each = written(rows.join(one, "class").mapInArrow(_shared, _STRETCH + ", same int, hash long"))
+    node = each.groupBy("class").agg(F.min("same").alias("all"), F.sum("copies").alias("_n"), F.min("before").alias("low"), F.max("before").alias("high"), F.min("hash").alias("_hash"))
+    each = each.join(node.filter("_n > 1 and (low < 0 or low < high)"), "class")
+    here = each.filter((F.col("all") < span) & (F.col("depth") + F.col("all") >= least))
+    here = here.select("class", "node", "start", "before", "copies", "depth", (F.col("depth") + F.col("all")).cast("int").alias("length"), F.col("_hash").alias("least"))
+    on = F.when(F.col("all") == span, F.col("class")).otherwise(F.xxhash64("class", "all", F.substring("stretch", F.col("all") + 1, F.lit(1))))
+    more = each.filter((F.col("all") == span) | (F.octet_length("stretch") > F.col("all")))
+    more = more.select(on.alias("class"), "node", "start", "before", "copies", (F.col("depth") + F.col("all") + F.when(F.col("all") == span, 0).otherwise(1)).cast("int").alias("depth"))
+    return here.unionByName(more.withColumns({"length": F.lit(None).cast("int"), "least": F.lit(None).cast("long")}))
+
+
+def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, block: int = BLOCK, klass: int = CLASS) -> DataFrame:
+    """(grp, length, doc_id, node, start): all occurrences of every maximal repeat group of docs (doc_id, text), as bytes of UTF-8.
+
+    A group is a string of `least` bytes or more that is there more than once and cannot be longer either way without losing an
+    occurrence; ends of texts count as unlike anything. node is the hash of the text (xxhash64); copies of a text have one node and are
+    occurrences each. Null and empty texts have none, other columns are not looked at, and an empty table gives no rows.
     """
-    _, occurrences, found = _found(docs, least, seed, block, False)
-    return found.join(occurrences, "item").select("grp", "length", "node", (F.col("start") + F.col("offset")).alias("start"))
+    spark = docs.sparkSession
+    keyed, members = _starts(docs.select("doc_id", "text"), least, seed, block)
+    copies = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    members = members.join(copies, "node").select("class", "node", "start", "before", "copies", F.lit(0).alias("depth"))
+    span, found, n = 2 * least, None, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = keyed.select("node", "text").dropDuplicates(["node"])
+    while True:
+        alive = members.groupBy("class").agg(F.sum("copies").alias("n"), F.min("before").alias("low"), F.max("before").alias("high")).filter("n > 1 and (low < 0 or low < high)")
+        own = members.join(alive.select("class"), "class", "left_semi").groupBy("node").agg(F.collect_list(F.struct("class", "node", "start", "before", "copies", "depth")).alias("own"))  # of one text
+        rows = written(texts.join(own, "node").select("text", "own").mapInArrow(_stretches(span), _STRETCH))
+        if rows.isEmpty():
+            break
+        large = written(rows.groupBy("class").agg(F.sum(F.octet_length("stretch") + 100).alias("n")).filter(F.col("n") > klass).select("class"))
+        some = not large.isEmpty()
+        usual = (rows.join(large, "class", "left_anti") if some else rows).repartition(n, "class").sortWithinPartitions("class")
+        done = usual.mapInArrow(_follow(span, least), _OUT)
+        done = written(done.unionByName(_split(rows.join(large, "class", "left_semi"), span, least)) if some else done)
+        groups = done.filter("length is not null").select(F.xxhash64("least", "length").alias("grp"), "length", "node", "start")
+        found = groups if found is None else found.unionByName(groups)
+        members, span = done.filter("length is null").select("class", "node", "start", "before", "copies", "depth"), 2 * span
+    found = rows.select(F.col("class").alias("grp"), F.col("depth").alias("length"), "node", "start") if found is None else found
+    return found.join(keyed.select("doc_id", "node"), "node").select("grp", "length", "doc_id", "node", "start")
 
 
 def _remove(kept_columns: list[str]):
@@ -354,7 +546,7 @@ def dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED, block: int = BL
     count, and strings are judged on the input. Null texts count as empty and come back so; repeated rows are copies of each
     other. Columns named kept or removed are replaced.
     """
-    keyed, occurrences, found = _found(docs, least, seed, block, True)
+    keyed, occurrences, found = _found(docs, least, seed, block)
     spans = found.join(occurrences, "item").select("node", F.struct((F.col("start") + F.col("offset")).cast("long").alias("at"), F.col("length").cast("long").alias("length")).alias("s"))
     spans = spans.groupBy("node").agg(F.collect_set("s").alias("_spans"))  # bounded by the length of a text
     kept = [c for c in docs.columns if c not in ("kept", "removed")]

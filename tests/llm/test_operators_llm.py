@@ -127,14 +127,52 @@ def test_repeat_groups_cover_what_repeats():
         assert (got == np.concatenate(expected)).all()
 
 
-def test_repeats_give_all_occurrences(spark):
-    shared = "".join(random.Random(1).choice("abcdefgh ") for _ in range(260))
-    rows = [(i, f"{i} head {shared} tail {i * 7}", "en", "s") for i in range(5)]
-    got = suffix_dedup.repeats(table(spark, rows)).collect()
-    groups = collections.defaultdict(set)
-    for r in got:
-        groups[r.grp, r.length].add((r.node, r.start))
-    assert groups and any(len(v) == 5 for v in groups.values()) and all(len(v) > 1 for v in groups.values())
+def brute_repeats(rows, least):
+    """{(string, every (doc_id, start))}: maximal repeats from all pairs of places with unlike left neighbours."""
+    raw = [(i, (t or "").encode()) for i, t, *_ in rows]
+    found = set()
+    places = [(k, p) for k, (_, x) in enumerate(raw) for p in range(len(x) - least + 1)]
+    by = collections.defaultdict(list)
+    for k, p in places:
+        by[raw[k][1][p : p + least]].append((k, p))
+    for own in by.values():
+        for n, (k, p) in enumerate(own):
+            for m, q in own[:n]:
+                x, y = raw[k][1], raw[m][1]
+                if p and q and x[p - 1] == y[q - 1]:
+                    continue
+                size = least
+                while p + size < len(x) and q + size < len(y) and x[p + size] == y[q + size]:
+                    size += 1
+                found.add(x[p : p + size])
+    return {(w, frozenset((i, p) for i, x in raw for p in range(len(x) - len(w) + 1) if x[p : p + len(w)] == w)) for w in found}
+
+
+@pytest.mark.parametrize(("block", "klass"), [(suffix_dedup.BLOCK, suffix_dedup.CLASS), (60, suffix_dedup.CLASS), (60, 700)])
+def test_repeats_are_all_maximal_groups(spark, block, klass):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    base, other = word(90), word(30)
+    rows = [(i, x, "en", "s") for i, x in enumerate([base, base[10:70] + "x" + other, other + base[30:], word(40) + other, base, None, "", "ab" * 20, "y" + base[5:60] + base[5:40]])]
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeats(table(spark, rows).withColumn("node", F.lit("clash")), 16, 4, block, klass).collect():
+        got[r.grp].add((r.doc_id, r.start, r.length))
+    text = {i: (t or "").encode() for i, t, *_ in rows}
+    groups = set()
+    for own in got.values():
+        (w,) = {text[i][p : p + n] for i, p, n in own}
+        groups.add((w, frozenset((i, p) for i, p, _ in own)))
+    assert groups == brute_repeats(rows, 16) and len(groups) == len(got)
+
+
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 1000, 250])
+def test_a_long_passage_is_one_group(spark, block):
+    rng = random.Random(1)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    rows = [(i, f"{'vwxyz'[i]} head {i}{'pqrst'[i]}{shared}{'klmno'[i]} tail {i * 7}", "en", "s") for i in range(5)]
+    got = [(r.grp, r.length, r.doc_id, r.start) for r in suffix_dedup.repeats(table(spark, rows), block=block).collect()]
+    assert len({g for g, *_ in got}) == 1 and sorted((n, i, p) for _, n, i, p in got) == [(1000, i, 9) for i in range(5)]
+    assert suffix_dedup.repeats(table(spark, [])).count() == 0
 
 
 # 3: line dedup
