@@ -1,10 +1,10 @@
 r"""Chat formatting by quotation linking, in Spark expressions alone.
 
-A line's quote level is its number of leading '>'. The passages of a message are its lines at each level and the whole of
-a level, normalised (lower case, white space collapsed) and hashed. A quoted passage is joined to its original: the first message of
-the conversation that says it itself, at level 0. A message's parent is the earlier message that its lowest matching level quotes most
-of; its root and depth follow by pointer doubling. Rows come with the keys (root_turn, depth, turn) that put a
-conversation in reply order, so that no conversation, however long, has to meet in one task.
+A line's quote level is its number of leading '>'. The passages of a message are its lines, its blocks (lines of one level in a row, up to a
+blank one) and the whole of each level, normalised (lower case, white space collapsed, so that wrapping does not matter) and hashed. A
+quoted passage is joined to its original: the first message of the conversation that says it itself, at level 0. A message's parent is
+the earlier message that its lowest matching level quotes most of; its root, depth and path of ancestors follow by pointer doubling.
+Sorted by path a conversation is in reply order, every reply below what it answers, so that no conversation, however long, has to meet in one task.
 """
 
 from __future__ import annotations
@@ -35,11 +35,14 @@ def normalised(s: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """array<struct<level, passage>> of every line and every whole level, blank ones left out, each once."""
+    """array<struct<level, passage>> of every line, block and whole level, blank ones left out, each once."""
     levels = F.array_distinct(F.filter(F.transform(lines, lambda x: x["level"]), lambda n: n >= 0))
     single = F.transform(F.filter(lines, lambda x: x["level"] >= 0), lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("passage")))
     whole = F.transform(levels, lambda n: F.struct(n.alias("level"), normalised(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == n), lambda x: x["body"]), "\n")).alias("passage")))
-    return F.array_distinct(F.filter(F.concat(single, whole), lambda x: x["passage"] != ""))
+    # What is not of a level, or blank, becomes a sign of its own, at which the level is cut.
+    cut = lambda n: F.split(F.array_join(F.transform(lines, lambda x: F.when((x["level"] == n) & (normalised(x["body"]) != ""), x["body"]).otherwise(F.lit("\x01"))), "\n"), "\x01")
+    blocks = F.flatten(F.transform(levels, lambda n: F.transform(cut(n), lambda x: F.struct(n.alias("level"), normalised(x).alias("passage")))))
+    return F.array_distinct(F.filter(F.concat(single, blocks, whole), lambda x: x["passage"] != ""))
 
 
 def own_text(lines: Column) -> Column:
@@ -64,30 +67,53 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def thread(links: DataFrame) -> DataFrame:
-    """links with root_turn and depth, by pointer doubling: as many rounds as the logarithm of the deepest reply."""
-    up = written(links.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")))
+    """links with root_turn, depth and path (the turns from the root to the message), by pointer doubling: as many rounds as the logarithm of
+    the deepest reply. A path is as long as its message is deep."""
+    up = written(links.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth"), F.array("parent_turn", "turn").alias("path")))
     while True:
-        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("_root"), F.col("depth").alias("_more"))
+        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("_root"), F.col("depth").alias("_more"), F.col("path").alias("_path"))
         joined = up.join(above, ["conv_id", "root_turn"], "left")
         if joined.filter("_root is not null").isEmpty():
             return up
-        up = written(joined.select("conv_id", "turn", "parent_turn", F.coalesce("_root", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        path = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", F.slice("path", 2, F.size("path"))))
+        up = written(joined.select("conv_id", "turn", "parent_turn", F.coalesce("_root", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), path.alias("path")))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, role, text) with parent_turn (null: no quote links it), root_turn, depth, n_quoted (lines), clean_text and
-    formatted (role tag and clean text). Sorted by conv_id, root_turn, depth, turn they are the conversations in reply order.
+    """messages (conv_id, turn, role, text) with parent_turn (null: no quote links it), root_turn, depth, path, n_quoted (lines), clean_text
+    and formatted (role tag and clean text). Sorted by conv_id and path they are the conversations in reply order: a message, then each of
+    its replies by turn, with all that answers it.
 
-    A null text has no lines and an empty clean text; a null role is 'unknown'; repeated rows stay. Columns of these names are replaced.
+    A null text has no quotes and an empty clean text; a null role is 'unknown'; a message with a null conv_id or turn links with nothing;
+    repeated rows stay. Columns of these names are replaced, all others stay. Empty tables stay empty. Texts may be of any length:
+    passages are as many as lines, blocks and levels, and travel as hashes.
     """
-    new = ("parent_turn", "root_turn", "depth", "n_quoted", "clean_text", "formatted")
+    new = ("parent_turn", "root_turn", "depth", "path", "n_quoted", "clean_text", "formatted")
     kept = [c for c in messages.columns if c not in new]
-    threads = thread(link(messages)).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("parent_turn").alias("_parent"), F.col("root_turn").alias("_root"), F.col("depth").alias("_depth"))
-    rows = messages.select(*kept).withColumn("_lines", quoted_lines(F.coalesce("text", F.lit(""))))
-    rows = rows.join(threads, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
-    clean = own_text(F.col("_lines"))
+    threads = thread(link(messages)).select(*(F.col(c).alias(f"_quote_{c}") for c in ("conv_id", "turn", "parent_turn", "root_turn", "depth", "path")))
+    rows = messages.select(*kept).withColumn("_quote_lines", quoted_lines(F.coalesce("text", F.lit(""))))
+    rows = rows.join(threads, (F.col("conv_id") == F.col("_quote_conv_id")) & (F.col("turn") == F.col("_quote_turn")), "left")
+    clean = own_text(F.col("_quote_lines"))
     return rows.select(
-        *kept, F.col("_parent").alias("parent_turn"), F.coalesce("_root", "turn").alias("root_turn"), F.coalesce("_depth", F.lit(0)).cast("long").alias("depth"),
-        F.size(F.filter("_lines", lambda x: x["level"] != 0)).cast("long").alias("n_quoted"), clean.alias("clean_text"),
+        *kept, F.col("_quote_parent_turn").alias("parent_turn"), F.coalesce("_quote_root_turn", "turn").alias("root_turn"), F.coalesce("_quote_depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("_quote_path", F.array("turn")).alias("path"), F.size(F.filter("_quote_lines", lambda x: x["level"] != 0)).cast("long").alias("n_quoted"), clean.alias("clean_text"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), clean).alias("formatted"),
     )
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) as mail threads write them, for conversations that hold no quotes of their own.
+
+    Of four turns in a row, the second quotes the first, the third the second (and, one level deeper, the first), the fourth the
+    second, each under an attribution line. Texts are joined by conversation and turn, so that no conversation meets in one task.
+    """
+    said = messages.dropna(subset=["conv_id", "turn", "text"]).groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_of")).agg(F.min("text").alias("_said"))
+    step = F.pmod(F.col("turn"), F.lit(4))
+    mark = lambda c, sign: F.concat(F.lit(sign), F.replace(c, F.lit("\n"), F.lit(f"\n{sign}")), F.lit("\n"))
+    rows = messages
+    for k, back in (("near", F.when(step == 3, 2).when(step > 0, 1)), ("far", F.when(step == 2, 2))):
+        side = said.select(F.col("_conv").alias(f"_conv_{k}"), F.col("_of").alias(f"_of_{k}"), F.col("_said").alias(f"_said_{k}"))
+        rows = rows.join(side, (F.col("conv_id") == F.col(f"_conv_{k}")) & (F.col("turn") - back == F.col(f"_of_{k}")), "left")
+    far = F.coalesce(mark(F.col("_said_far"), ">> "), F.lit(""))
+    text = F.when(F.col("_said_near").isNull(), F.col("text")).otherwise(F.concat(F.lit("Somebody wrote:\n"), far, mark(F.col("_said_near"), "> "), F.lit("\n"), F.coalesce("text", F.lit(""))))
+    return rows.withColumn("text", text).select(*messages.columns)

@@ -31,21 +31,30 @@ FROM m GROUP BY row_id, doc_id
 """
 
 OP5 = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS said FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+conv AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN n.said IS NULL THEN c.text ELSE 'Somebody wrote:' || chr(10) || coalesce('>> ' || replace(f.said, chr(10), chr(10) || '>> ') || chr(10), '')
+                  || '> ' || replace(n.said, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(c.text, '') END AS text
+         FROM conversations c LEFT JOIN said n ON n.conv_id = c.conv_id AND n.turn = c.turn - CASE c.turn % 4 WHEN 3 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 END
+                              LEFT JOIN said f ON f.conv_id = c.conv_id AND f.turn = c.turn - 2 AND c.turn % 4 = 2),
+m AS (SELECT conv_id, turn, role, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS lines FROM conv),
 raw AS (SELECT m.*, u.i, length(regexp_replace(regexp_extract(lines[u.i], '^[\x20\x09]*(?:>[\x20\x09]*)+'), '[^>]', '', 'g')) AS lv, regexp_replace(lines[u.i], '^[\x20\x09]*(?:>[\x20\x09]*)+', '') AS body
         FROM m, unnest(range(1, len(lines) + 1)) AS u(i)),
-l AS (SELECT conv_id, turn, role, n, i, body, CASE WHEN lead(lv) OVER (PARTITION BY n ORDER BY i) > lv AND regexp_matches(body, '(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$') THEN -1 ELSE lv END AS level FROM raw),
+l AS (SELECT conv_id, turn, role, n, i, body, lower(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'))) AS plain,
+             CASE WHEN lead(lv) OVER (PARTITION BY n ORDER BY i) > lv AND regexp_matches(body, '(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$') THEN -1 ELSE lv END AS level FROM raw),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY n, level ORDER BY i) AS run FROM l WHERE plain <> '' AND level >= 0),
 p AS (SELECT DISTINCT conv_id, turn, level, passage FROM (
-        SELECT conv_id, turn, n, level, lower(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'))) AS passage FROM l WHERE level >= 0
+        SELECT conv_id, turn, n, level, plain AS passage FROM l WHERE level >= 0
+        UNION SELECT conv_id, turn, n, level, lower(trim(regexp_replace(string_agg(body, chr(10) ORDER BY i), '[\x20\x09-\x0D]+', ' ', 'g'))) FROM runs GROUP BY conv_id, turn, n, level, run
         UNION SELECT conv_id, turn, n, level, lower(trim(regexp_replace(string_agg(body, chr(10) ORDER BY i), '[\x20\x09-\x0D]+', ' ', 'g'))) FROM l WHERE level >= 0 GROUP BY ALL) WHERE passage <> ''),
 o AS (SELECT conv_id, passage, min(turn) AS parent FROM p WHERE level = 0 GROUP BY ALL),
 h AS (SELECT p.conv_id, p.turn, level, parent, sum(length(passage)) AS size FROM p JOIN o USING (conv_id, passage) WHERE level > 0 AND parent < p.turn GROUP BY ALL),
 b AS (SELECT conv_id, turn, max_by(parent, (-level, size, parent)) AS parent_turn FROM h GROUP BY ALL),
-t AS (SELECT conv_id, turn, parent_turn, parent_turn AS root, 1 AS depth FROM b UNION ALL SELECT t.conv_id, t.turn, t.parent_turn, b.parent_turn, depth + 1 FROM t JOIN b ON b.conv_id = t.conv_id AND b.turn = t.root),
-top AS (SELECT conv_id, turn, any_value(parent_turn) AS parent_turn, max_by(root, depth) AS root, max(depth) AS depth FROM t GROUP BY ALL),
+t AS (SELECT conv_id, turn, parent_turn, parent_turn AS root, 1 AS depth, parent_turn || '/' || turn AS path FROM b
+      UNION ALL SELECT t.conv_id, t.turn, t.parent_turn, b.parent_turn, depth + 1, b.parent_turn || '/' || t.path FROM t JOIN b ON b.conv_id = t.conv_id AND b.turn = t.root),
+top AS (SELECT conv_id, turn, any_value(parent_turn) AS parent_turn, max_by(root, depth) AS root, max(depth) AS depth, max_by(path, depth) AS path FROM t GROUP BY ALL),
 c AS (SELECT n, count(*) FILTER (WHERE level <> 0) AS n_quoted, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS own FROM l GROUP BY n)
-SELECT m.conv_id, m.turn, m.role, top.parent_turn, coalesce(top.root, m.turn) AS root_turn, coalesce(top.depth, 0)::BIGINT AS depth, c.n_quoted,
-       regexp_replace(c.own, '^(?:[\x20\x09\x0B-\x0D]*\n)+|(?:\n[\x20\x09\x0B-\x0D]*)+$', '', 'g') AS clean_text
+SELECT m.conv_id, m.turn, m.role, top.parent_turn, coalesce(top.root, m.turn) AS root_turn, coalesce(top.depth, 0)::BIGINT AS depth, coalesce(top.path, m.turn::VARCHAR) AS path, c.n_quoted,
+       '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || regexp_replace(c.own, '^(?:[\x20\x09\x0B-\x0D]*\n)+|(?:\n[\x20\x09\x0B-\x0D]*)+$', '', 'g') AS formatted
 FROM m JOIN c USING (n) LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
 """
 

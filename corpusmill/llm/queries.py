@@ -18,8 +18,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chat_quotes.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return done.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "n_quoted", "clean_text")
+    """The table's conversations hold no quotes, so its turns are first written as mail threads write them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = chat_quotes.conversations(chat_quotes.quoting(turns))
+    return done.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", F.array_join("path", "/").alias("path"), "n_quoted", "formatted")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

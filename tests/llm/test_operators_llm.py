@@ -332,6 +332,26 @@ def test_chat_quotes(spark):
     assert chat_quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_reply_order_and_blocks(spark):
+    rows = [
+        (1, 0, "user", "intro\n\nfirst line of it\nand the second\n\nend"), (1, 1, "user", "> first line of\n> it and\n> the second\nyes"), (1, 2, "user", "> first line of it\nno"),
+        (1, 3, "user", "> yes\nwhy"), (1, 4, "user", "> no\nbecause"), (2, 0, "user", ""), (2, None, "user", "> x"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("path", "formatted", "root_turn")})
+    got = chat_quotes.conversations(df)
+    assert [r.turn for r in got.filter("conv_id = 1").orderBy("conv_id", "path").collect()] == [0, 1, 3, 2, 4]
+    assert {r.turn: r.path for r in got.filter("conv_id = 1").collect()} == {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 1, 3], 4: [0, 2, 4]}
+
+
+def test_quoting_links_what_it_quotes(spark):
+    rows = [(c, t, "user", f"message {t} of {c}\n\nwith a second part {t}") for c in range(3) for t in range(8)] + [(9, 0, "user", None), (9, 1, "user", "x")]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.depth, r.clean_text) for r in chat_quotes.conversations(chat_quotes.quoting(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in range(3):
+        assert [got[c, t][:2] for t in range(8)] == [(None, 0), (0, 1), (1, 2), (1, 2), (None, 0), (4, 1), (5, 2), (5, 2)]
+        assert all(got[c, t][2] == f"message {t} of {c}\n\nwith a second part {t}" for t in range(8))
+    assert got[9, 0] == (None, 0, "") and got[9, 1] == (None, 0, "x")
+
+
 def test_deep_threads(spark):
     rows = [(1, i, "user", (f"> message {i - 1}\n" if i else "") + f"message {i}") for i in range(40)]
     got = {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in chat_quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
