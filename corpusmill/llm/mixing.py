@@ -62,13 +62,16 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mixture as rows of documents: each document as often as it is taken whole, and its first words for a fraction.
 
-    Rows are joined to their plan by a hash of doc_id, source and text. Equal rows share what they take alike; the few
-    words that do not divide among them are left out. Columns other than text and n_chars stay as they are.
+    Rows are joined to their plan by a hash of doc_id, source and text. Rows equal in all three share what they take alike, and the first of
+    them one word more each until none is left over. Columns other than text and n_chars stay as they are, whatever their names; a null or
+    blank text is never taken; an empty table stays empty. Texts may be of any length.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("_key", key)
-    planned = plan(keyed, extra=("_key",), **options).groupBy("_key").agg(F.max("size").alias("_size"), F.expr("sum(taken) div count(1)").alias("_mine"))
-    rows = keyed.join(planned.filter("_mine > 0"), "_key")
+    planned = plan(keyed, extra=("_key",), **options).groupBy("_key").agg(F.max("size").alias("_size"), F.sum("taken").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    rows = keyed.join(planned.filter("_all > 0"), "_key")
+    turn = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))  # the join has dealt and sorted rows by key
+    rows = rows.withColumn("_mine", F.expr("_all div _rows") + F.when(turn <= F.expr("_all % _rows"), 1).otherwise(0)).filter("_mine > 0")
     copies = F.expr("(_mine + _size - 1) div _size")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     words = F.expr("least(_mine - (_copy - 1) * _size, _size)")

@@ -462,6 +462,16 @@ def test_mixture_rows(spark):
     assert all(text[i].startswith(t) for i, ts in out.items() for t in ts)
 
 
+def test_equal_rows_share_every_word(spark):
+    """What does not divide among equal rows is handed out, too: no word of a source's target is lost."""
+    rows = [(1, "a b c d e", "en", "s1")] * 7 + [(2, "f g h", "en", "s1"), (3, "x " * 40, "en", "s2"), (4, "y", "en", None), (5, None, "en", "s1")]
+    plan = mixing.plan(table(spark, rows)).collect()
+    out = mixing.expand(table(spark, rows).withColumns({c: F.lit("clash") for c in ("size", "target", "taken")})).collect()
+    for source in ("s1", "s2", None):
+        assert sum(len(WORD.findall(r.text)) for r in out if r.source == source) == sum(r.taken for r in plan if r.source == source)
+    assert {r.size for r in out} == {"clash"} and mixing.expand(table(spark, [])).count() == 0
+
+
 # 8: toxicity
 
 
