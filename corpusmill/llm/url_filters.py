@@ -1,10 +1,12 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes and confirmed by full digests.
 
-Plan: each distinct shape of the rules (labels in the host, characters in the path) gives at most one expression a URL,
-so a URL expands to as many rows as the rules have shapes, with no cap on labels or depth. The expressions meet the rules on the
-first hex digits of their SHA-256; the full digest confirms, and the precedence (longest rule, then longest host, then
-block before allow) is a max that is combined before the shuffle. Spark broadcasts the rules while their size is below
-its own threshold and shuffles both sides beyond it; a rule's key is unique, so AQE can split a hot host's rows.
+Plan: each distinct shape of the rules (labels in the host, characters in the path) gives at most one expression a URL. Suffixes of a
+host are one row a label, and meet the shapes of so many labels in a table of shapes; so a URL expands to as many rows as the rules have
+shapes that fit it, with no cap on labels or depth, and the plan is the same for five rules and for millions. The expressions meet the rules
+on the first hex digits of their SHA-256; the full digest confirms, and the precedence (longest rule, then longest host, then
+block before allow) is a max that is combined before the shuffle. Spark broadcasts shapes and rules while their size is below
+its own threshold and shuffles both sides beyond it; a rule's key is unique, so AQE can split a hot host's rows. Each distinct
+host and path is judged once; URLs without either are not judged at all.
 """
 
 from __future__ import annotations
@@ -42,23 +44,23 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """pages with host, path, rule (the rule that decided, else null) and verdict ('allow' or 'block').
 
     A null URL, or one without '://', has an empty host and path and takes the default, as does any URL that no rule
-    fits. Repeated rows stay repeated. Rules with a null part are ignored; of equal rules, 'block' wins. Columns of
-    pages that have one of the four names are replaced.
+    fits. Repeated rows stay repeated; an empty table stays empty, and without rules all take the default. Rules with a null part are
+    ignored; of equal rules, 'block' wins. URLs may be of any length. Columns of pages that have one of the four names are replaced.
     """
     rules = rules.dropna(subset=["host", "path", "verdict"])
     keyed = rules.select(
         F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), F.col("verdict").alias("says"),
         _digest(ascii_lower(F.col("host")), F.col("path")).alias("digest"),
     ).withColumn("prefix", F.left("digest", F.lit(PREFIX)))
-    # The shapes of rules: bounded by the longest host and path, not by the number of rules.
-    shapes = rules.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("m")).distinct().collect()
+    shapes = rules.select(F.size(F.split("host", r"\.")).alias("_labels"), F.length("path").alias("_length")).distinct()
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parsed = pages.withColumns({"_url_host": host_of(F.col(url)), "_url_path": path_of(F.col(url))})
     host, path = F.col("_url_host"), F.col("_url_path")
-    labels = F.size(F.split(host, r"\."))
-    every = [F.when((labels >= s.n) & (F.length(path) >= s.m), _digest(F.substring_index(host, ".", -s.n), F.left(path, F.lit(s.m)))) for s in shapes]
-    expressions = F.filter(F.array(*every) if every else F.array().cast("array<string>"), lambda d: d.isNotNull())
-    exploded = parsed.select(host, path, F.explode(expressions).alias("full")).withColumn("prefix", F.left("full", F.lit(PREFIX)))
+    each = parsed.filter((host != "") | (path != "")).select(host, path).distinct()
+    each = each.select(host, path, F.explode(F.sequence(F.lit(1), F.size(F.split(host, r"\.")))).alias("_labels")).join(shapes, "_labels").filter(F.length(path) >= F.col("_length"))
+    # substring_index takes a negative column for a suffix of so many labels.
+    full = _digest(F.call_function("substring_index", host, F.lit("."), -F.col("_labels")), F.left(path, F.col("_length")))
+    exploded = each.select(host, path, full.alias("full")).withColumn("prefix", F.left("full", F.lit(PREFIX)))
     rank = F.struct(F.length("rule").alias("len"), "host_len", (F.col("says") == "block").alias("block"), "rule", "says")
     best = exploded.join(keyed, "prefix").filter("full = digest").groupBy("_url_host", "_url_path").agg(F.max(rank).alias("_url_best"))
     return parsed.join(best, ["_url_host", "_url_path"], "left").select(
