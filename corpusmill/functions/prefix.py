@@ -6,26 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS = 50_000
+from corpusmill.sources.scratch import written
 
 
-def running_total(df: DataFrame, value: str, order: str, by: str | None = None, into: str = "before", rows: int = ROWS) -> DataFrame:
-    """df with `into`: the sum of `value` over the rows before this one by `order` (numeric, unique), within `by` if given.
+def running_total(df: DataFrame, value: str, order: str | tuple[str, ...], by: str | None = None, into: str = "before") -> DataFrame:
+    """(by, order, value, into): `into` is the sum of `value` over the rows before each one by `order` (unique), within `by` if given.
 
-    The order is cut into equal widths of about `rows` rows. The sum before a row is that of the widths before (a small
-    table of sums) and that inside its own width. Nulls in `value` count as 0; rows with a null order come first.
+    Rows are sorted by ranges that Spark samples, so neither a clustered order nor a group of most rows fills one task; the sum before a row
+    is that of the ranges before (a small table, a row a range and group) and that inside its own range. Only the columns named are
+    moved: join them to wider rows by `order`. Nulls in `value` count as 0; nulls in `order` come first. An empty table stays empty.
     """
-    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    width = max((float(hi) - float(lo) + 1) * rows / max(n, 1), 1.0) if lo is not None else 1.0
-    groups = [by] if by else []
-    v = F.coalesce(F.col(value), F.lit(0))
-    cut = df.withColumn("_cut", F.coalesce(F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)), F.lit(-1)))
-    sums = cut.groupBy(*groups, "_cut").agg(F.sum(v).alias("_sum"))
-    over = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(over.orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("_cut").alias("_c"), "_base")
-    same = F.col("_cut") == F.col("_c")
+    order, groups = ((order,) if isinstance(order, str) else tuple(order)), ([by] if by else [])
+    rows = df.select(*groups, *order, F.coalesce(F.col(value), F.lit(0)).alias(value)).orderBy(*groups, *order)
+    rows = written(rows.withColumn("_range", F.spark_partition_id()))
+    sums = rows.groupBy(*groups, "_range").agg(F.sum(value).alias("_sum"))
+    ahead = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+    sums = sums.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(ahead.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    same = F.col("_range") == F.col("_of")
     for g in groups:
         same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
-    inside = F.coalesce(F.sum(v).over(W.partitionBy(*groups, "_cut").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.join(sums, same).withColumn(into, F.col("_base") + inside).select(*df.columns, into)
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sums, same).withColumn(into, F.col("_base") + inside).select(*groups, *order, value, into)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.config import AnnealingConfig
 from corpusmill.functions.prefix import running_total
 from corpusmill.functions.textfn import estimate_tokens, u01
+from corpusmill.sources.scratch import written
 
 
 def sample_algorithmic(docs: DataFrame, cfg: AnnealingConfig = AnnealingConfig()) -> DataFrame:
@@ -29,8 +30,11 @@ def mixture(docs: DataFrame, budget: int, cfg: AnnealingConfig = AnnealingConfig
 
     tokens is on the result; sources without a share are left out.
     """
-    df = docs.withColumn("tokens", estimate_tokens(F.col("content"))).join(targets(docs.sparkSession, budget, cfg.shares).select("source", "target"), "source")
-    return running_total(df, "tokens", order, by="source").filter("before < target").drop("before", "target")
+    shares = targets(docs.sparkSession, budget, cfg.shares).select("source", "target")
+    counted = written(docs.select(order, "source", estimate_tokens(F.col("content")).alias("tokens")).join(F.broadcast(shares), "source"))
+    before = running_total(counted, "tokens", order, by="source")
+    taken = before.join(F.broadcast(shares), "source").filter("before < target").select(F.col(order), "tokens")
+    return docs.join(taken, order).select(*docs.columns, "tokens")
 
 
 def shuffled(df: DataFrame, seed: int, id: str = "doc_id") -> DataFrame:
