@@ -1,9 +1,10 @@
 """Document fingerprints: Order MinHash over occurrence-numbered k-mers, in Spark expressions alone.
 
 A text is a sequence of symbols (words, cut after SYMBOL characters, so that scripts without spaces have symbols too); a k-mer is
-K symbols in a row, numbered by its occurrence in the text. One hash orders all k-mers, and its range is cut into BINS
-equal parts, each of which stands for one hash function: of the L least k-mers of a part, in text order, one tuple hash
-is taken. Two texts agree in a part as far as the same k-mers are found in the same order, which moves with edit distance.
+K symbols in a row, numbered by its occurrence in the text. One hash orders all k-mers on a circle, and BINS equal arcs of it stand for as
+many hash functions: the L k-mers that come first from an arc's start on, in text order, make one tuple hash. Arcs that hold fewer
+than L go on into the next, so every tuple has an order to tell, however short the text. Two texts agree in a part as far as the same
+k-mers are found in the same order, which moves with edit distance.
 
 All is array work on primitive longs within a row: two sorts of packed (hash, position) longs and linear scans. Numbers of occurrences
 come from run starts of the sorted array, without a search. No row leaves its task until the next document is wanted.
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions.prefix import running_total
 from corpusmill.llm.common import written
 
 K, L, BINS, SYMBOL = 3, 2, 64, 16
 #: A packed long: POS bits of position (of so many symbols, a text of 2 GB at most) below the hash.
 POS = 30
-ROWS_A_BUCKET = 20_000
+#: Bytes of texts that follow each other in one bucket, and buckets at most (beyond them, buckets grow): FAN by FAN.
+BUCKET, FAN = 8_000_000, 64
 
 
 def _let(value: Column, body) -> Column:
@@ -29,10 +32,10 @@ def _let(value: Column, body) -> Column:
 
 
 def fingerprint(text: Column, k: int = K, n_least: int = L, bins: int = BINS) -> Column:
-    """The signature of a whole text as array<string>: 'bb:hhhhhhhh' for every part of the hash range that holds k-mers.
+    """The signature of a whole text as array<int>: a tuple hash for each of `bins` parts.
 
-    Null and blank texts have an empty one; a text with fewer than k symbols has one k-mer, all of it. Equal texts have
-    equal signatures. Texts may be of any length; positions wrap beyond 2^30 symbols.
+    Null and blank texts have an empty one; a text with fewer than k symbols has one k-mer, all of it, alone in every part. Equal texts
+    have equal signatures. Texts may be of any length; positions wrap beyond 2^30 symbols.
     """
     low = (1 << POS) - 1
     top = 1 << (63 - POS)
@@ -62,84 +65,82 @@ def fingerprint(text: Column, k: int = K, n_least: int = L, bins: int = BINS) ->
 
     def chosen(kmers: Column, o: Column) -> Column:
         least = F.filter(o, lambda x, i: (i < n_least) | (part(F.get(o, F.greatest(i - n_least, F.lit(0)))) != part(x)))
-        return _let(least, lambda c: F.filter(F.transform(c, lambda x, i: entry(kmers, c, x, i)), lambda e: e.isNotNull()))
+        return _let(least, lambda c: F.when(F.size(c) > 0, F.flatten(F.concat(F.transform(c, lambda x, i: entry(kmers, c, x, i)), F.array(rest(kmers, c))))).otherwise(F.array().cast("array<int>")))
 
-    def entry(kmers: Column, c: Column, x: Column, i: Column) -> Column:
-        mine = F.filter(F.slice(c, i + 1, n_least), lambda y: part(y) == part(x))
-        ordered = F.sort_array(F.transform(mine, lambda y: y.bitwiseAND(F.lit(low))))
-        tuple_hash = F.xxhash64(F.transform(ordered, lambda at: F.get(kmers, at.cast("int"))))
-        new = (i == 0) | (part(F.get(c, F.greatest(i - 1, F.lit(0)))) != part(x))
-        return F.when(new, F.concat(F.lpad(F.hex(part(x)), 2, "0"), F.lit(":"), F.lower(F.substring(F.lpad(F.hex(tuple_hash), 16, "0"), 9, 8))))
+    def tuple_hash(kmers: Column, c: Column, i: Column) -> Column:
+        # From the i-th on around the circle; a text of fewer than n_least k-mers has what it has.
+        around = F.transform(F.sequence(F.lit(0), F.least(F.lit(n_least), F.size(c)) - 1), lambda d: F.get(c, (i + d) % F.size(c)).bitwiseAND(F.lit(low)))
+        h = F.xxhash64(F.transform(F.sort_array(around), lambda at: F.get(kmers, at.cast("int"))))
+        return (h.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
-    return _let(symbols, of_symbols)
+    def entry(kmers: Column, c: Column, x: Column, i: Column) -> Column:
+        """The first k-mer of its part serves that part and the empty ones before it."""
+        before = F.when(i == 0, F.lit(-1)).otherwise(part(F.get(c, F.greatest(i - 1, F.lit(0)))))
+        return F.when(before != part(x), F.array_repeat(tuple_hash(kmers, c, i), part(x) - before)).otherwise(F.array().cast("array<int>"))
 
+    def rest(kmers: Column, c: Column) -> Column:
+        return F.array_repeat(tuple_hash(kmers, c, F.lit(0)), F.lit(bins - 1) - part(F.element_at(c, -1)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Parts of the hash range in which two signatures agree, of those in which either has k-mers; 1 for two empty ones."""
-    parts = F.size(F.array_union(F.transform(a, lambda e: F.left(e, F.lit(2))), F.transform(b, lambda e: F.left(e, F.lit(2)))))
-    return F.when(parts == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / parts)
+    return _let(symbols, of_symbols)
 
 
-def _quantile_bucket(x: Column, cuts: list) -> Column:
-    """The number of cuts at or below x, as a balanced tree of comparisons."""
+def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
+    """The share of parts in which two signatures agree; 1 for two empty ones, 0 if one is."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: F.coalesce(e, F.lit(False)))) / F.lit(bins)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts))
+def as_text(signature: Column) -> Column:
+    return F.array_join(F.transform(signature, lambda h: F.lower(F.lpad(F.hex(h.cast("long") + F.lit(1 << 31)), 8, "0"))), " ")
 
 
-def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], derive=lambda df: df) -> DataFrame:
-    """derive(docs) with next_<column>: the values of the next row by order[0], an integer id (null first), and the rest of order; the
-    last row is followed by the first. What is costly to compute belongs in derive: it runs once a row, after rows are dealt.
+def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, str], size: Column, derive=lambda df: df) -> DataFrame:
+    """derive(docs) with next_<column>: the values of the next row by order, two columns of longs (null first); the last row is followed by
+    the first. What is costly to compute belongs in derive: it runs once a row, after rows are dealt.
 
-    Rows are dealt to buckets by id: quantiles, each cut into equal widths, so that neither their number nor a clustered id space fills
-    one task. Each bucket also gets a copy of the row that follows it, and one window runs per bucket.
+    Rows are dealt to buckets of BUCKET bytes (size) each: running sums over the keys alone say where buckets begin, so neither a clustered
+    id space nor long texts fill one task. Each bucket also gets a copy of the row that follows it, and one window runs per bucket.
     """
-    key = F.col(order[0])
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, [i / 64 for i in range(65)], 10_000).alias("q")).first()
-    if not stats.n:
+    spark, key = docs.sparkSession, F.struct(*order)
+    sums = written(running_total(docs.select(*order, size.cast("long").alias("_bytes")), "_bytes", order))
+    total = sums.agg(F.sum(F.col("_bytes") + 1)).first()[0]
+    if not total:
         return derive(docs).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    edges = sorted(set(stats.q or [0]))
-    sub = -(-stats.n // (ROWS_A_BUCKET * max(1, len(edges))))
-    cuts = edges[1:]
-    low = F.element_at(F.array(*map(F.lit, edges)), F.col("_q") + 1)
-    high = F.element_at(F.array(*map(F.lit, [*edges[1:], edges[-1] + 1])), F.col("_q") + 1)
-    dealt = docs.withColumn("_q", F.coalesce(_quantile_bucket(key, cuts), F.lit(0)))
-    dealt = dealt.withColumn("_bucket", F.col("_q").cast("long") * sub + F.coalesce(F.least(F.greatest(F.floor((key - low) * F.lit(float(sub)) / (high - low)), F.lit(0)), F.lit(sub - 1)), F.lit(0))).drop("_q")
-    # A small table, one row a bucket that has rows: its least row, which also ends the bucket before it (the first ends the last).
-    heads = written(dealt.groupBy("_bucket").agg(F.min(F.struct(key.isNotNull().alias("_known"), *order)).alias("_head")))
-    over = W.orderBy("_bucket")
-    wrap = heads.agg(F.max("_bucket")).first()[0]
-    heads = heads.select(F.coalesce(F.lag("_bucket").over(over), F.lit(wrap)).alias("_before"), F.col("_bucket").alias("_own"), "_head")
-    same = F.lit(True)
-    for c in order:
-        same &= F.col(c).eqNullSafe(F.col(f"_head.{c}"))
-    tails = dealt.join(F.broadcast(heads) if heads.count() <= 100_000 else heads, (F.col("_bucket") == F.col("_own")) & same)
-    tails = tails.dropDuplicates(["_own"]).withColumn("_bucket", F.col("_before"))
-    rows = derive(dealt.withColumn("_tail", F.lit(False)).unionByName(tails.drop("_before", "_own", "_head").withColumn("_tail", F.lit(True))))
-    w = W.partitionBy("_bucket").orderBy("_tail", F.col(order[0]).asc_nulls_first(), *order[1:])
+    width = max(BUCKET, -(-total // (FAN * FAN)))
+    # At most FAN * FAN keys, which are where buckets begin.
+    cuts = [tuple(r.k) for r in sums.groupBy(F.expr(f"before div {width}L")).agg(F.min(key).alias("k")).select("k").collect()]
+    cuts = sorted(set(cuts), key=lambda k: [(x is not None, x or 0) for x in k])
+    long = lambda x: "cast(null as bigint)" if x is None else f"cast('{x}' as bigint)"
+    literal = lambda own: "array(" + ", ".join(f"named_struct({', '.join(f'{c!r}, {long(x)}' for c, x in zip(order, k, strict=True))})" for k in own) + ")"
+    rows = [cuts[i : i + FAN] for i in range(0, len(cuts), FAN)]
+    outer = F.size(F.filter(F.expr(literal([r[0] for r in rows])), lambda c: c <= key)) - 1
+    fine = F.get(F.expr("array(" + ", ".join(map(literal, rows)) + ")"), F.col("_outer"))
+    dealt = docs.withColumn("_outer", outer).withColumn("_bucket", F.col("_outer") * FAN + F.size(F.filter(fine, lambda c: c <= key)) - 1).drop("_outer")
+    n = len(cuts)
+    ends = spark.createDataFrame([(i // FAN * FAN + i % FAN, (i - 1) % n, *k) for i, k in enumerate(cuts)], "_own int, _before int, _k0 long, _k1 long")
+    tails = dealt.join(F.broadcast(ends), (F.col("_bucket") == F.col("_own")) & F.col(order[0]).eqNullSafe(F.col("_k0")) & F.col(order[1]).eqNullSafe(F.col("_k1")))
+    tails = tails.dropDuplicates(["_own"]).withColumn("_bucket", F.col("_before")).drop("_own", "_before", "_k0", "_k1")
+    every = derive(dealt.withColumn("_tail", F.lit(False)).unionByName(tails.withColumn("_tail", F.lit(True))))
+    w = W.partitionBy("_bucket").orderBy("_tail", *(F.col(c).asc_nulls_first() for c in order))
     after = F.lead(F.struct(*columns)).over(w)
-    return rows.withColumn("_next", after).filter("not _tail").drop("_bucket", "_tail").select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
+    return every.withColumn("_next", after).filter("not _tail").drop("_bucket", "_tail").select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Each document (doc_id, text) with its fingerprint, that of its edited text, and likenesses.
 
     The edited text: the last floor(n_chars / 2) code points give way to the first as many (or all) of the next document by doc_id. A null
-    text counts as empty, a null doc_id comes first, rows of one doc_id follow each other by text hash; the only row follows itself.
+    text counts as empty, a null doc_id comes first, rows of one doc_id follow each other by text hash; the only row follows itself, and
+    an empty table stays empty. Other columns, whatever their names, are not looked at. Texts may be of any length.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("text"))
-    rows = with_next(rows, ("text", "signature"), ("doc_id", "_hash"), lambda df: df.withColumn("signature", fingerprint(F.col("text"))))
+    rows = with_next(rows, ("text", "signature"), ("doc_id", "_hash"), F.octet_length("text"), lambda df: df.withColumn("signature", fingerprint(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "signature", "next_signature", fingerprint(F.col("edited")).alias("edited_signature"))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("signature", " ").alias("fingerprint"), F.array_join("edited_signature", " ").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
     )

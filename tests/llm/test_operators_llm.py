@@ -379,16 +379,14 @@ def brute_fingerprint(text, k=3, least=2, bins=64):
     for i, h in enumerate(kmers):
         packed.append((signed(long(seen[h], long(h % top, 42))) % top, i))
         seen[h] += 1
-    parts = collections.defaultdict(list)
-    for h, i in sorted(packed):
-        if len(parts[int(h / (top / bins))]) < least:
-            parts[int(h / (top / bins))].append(i)
-    out = []
-    for b in sorted(parts):
+    ordered, out = sorted(packed), []
+    for b in range(bins):
+        first = next((k for k, (h, _) in enumerate(ordered) if int(h / (top / bins)) >= b), 0)
+        own = {ordered[(first + d) % len(ordered)][1] for d in range(min(least, len(ordered)))}
         h = 42
-        for i in sorted(parts[b]):
+        for i in sorted(own):
             h = long(kmers[i], h)
-        out.append(f"{b:02X}:{h & 0xFFFFFFFF:08x}")
+        out.append(f"{h & 0xFFFFFFFF:08x}")
     return out
 
 
@@ -402,7 +400,7 @@ def test_fingerprints(spark):
         t, u = t or "", u or ""
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
         a, b, c = brute_fingerprint(t), brute_fingerprint(edited), brute_fingerprint(u)
-        like = lambda x, y: 1.0 if not x and not y else len(set(x) & set(y)) / len({e[:2] for e in x} | {e[:2] for e in y})
+        like = lambda x, y: 1.0 if not x and not y else sum(p == q for p, q in zip(x, y, strict=False)) / 64
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (" ".join(a), " ".join(b)) and (r.near_edited, r.near_next) == (like(a, b), like(a, c))
@@ -413,11 +411,34 @@ def test_fingerprints_edges(spark):
     assert fingerprints.compare(odd).count() == 4 and fingerprints.compare(odd.limit(0)).count() == 0
     one = fingerprints.compare(table(spark, [(1, "alone here", "en", "s")])).first()
     assert one.near_next == 1.0
-    fingerprints.ROWS_A_BUCKET, old = 3, fingerprints.ROWS_A_BUCKET
-    rows = table(spark, [(i * i * 10**9, f"text {i}", "en", "s") for i in range(300)])
-    after = {r.doc_id: r.next_text for r in fingerprints.with_next(rows, ("text",), ("doc_id",)).collect()}
-    fingerprints.ROWS_A_BUCKET = old
-    assert after == {i * i * 10**9: f"text {(i + 1) % 300}" for i in range(300)}
+    clash = odd.withColumns({c: F.lit("clash") for c in ("signature", "edited", "fingerprint", "next_text")})
+    assert fingerprints.compare(clash).count() == 4
+
+
+@pytest.mark.parametrize(("bucket", "fan"), [(30, 64), (30, 4), (10**9, 64)])
+def test_next_rows_in_any_buckets(spark, monkeypatch, bucket, fan):
+    """Clustered ids, an outlier, repeated rows, null ids, one long text."""
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+    monkeypatch.setattr(fingerprints, "FAN", fan)
+    rows = [(i * i if i % 3 else 10**15 + i, f"text {i}" * (200 if i == 7 else 1), "en", "s") for i in range(150)] + [(None, "none", "en", "s"), (-(10**18), "least", "en", "s")]
+    df = table(spark, rows).withColumn("_hash", F.xxhash64("text"))
+    after = {r.doc_id: r.next_text for r in fingerprints.with_next(df, ("text",), ("doc_id", "_hash"), F.octet_length("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert after == {a[0]: b[1] for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    again = table(spark, [(5, "same", "en", "s")] * 40 + [(6, "other", "en", "s")]).withColumn("_hash", F.xxhash64("text"))
+    got = collections.Counter((r.text, r.next_text) for r in fingerprints.with_next(again, ("text",), ("doc_id", "_hash"), F.octet_length("text")).collect())
+    assert got == {("same", "same"): 39, ("same", "other"): 1, ("other", "same"): 1}
+
+
+def test_order_counts_in_short_texts(spark):
+    """Halves of a text changed about: the k-mers are almost the same ones, their order is not."""
+    rng = random.Random(5)
+    rows = []
+    for i, n in enumerate((30, 66, 400)):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(w), "en", "s"), (2 * i + 1, " ".join(w[n // 2 :] + w[: n // 2]), "en", "s")]
+    near = {r.doc_id: r.near_next for r in fingerprints.compare(table(spark, rows)).collect()}
+    assert all(near[2 * i] < 0.66 for i in range(3))
 
 
 # 7: mixing
