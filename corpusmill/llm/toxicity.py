@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -290,19 +289,19 @@ def family(text: str | None) -> int:
     return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
 
 
-def logistic(rows: list[list[int]], toxic: np.ndarray, weight: np.ndarray, n: int, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of n binary features and the bias that minimise weighted log loss + penalty / 2 * |weights|^2, by accelerated gradient descent."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    of = np.array([x for r in rows for x in r], np.int64)
-    w, b = np.zeros(n + 1), None
+def logistic(at: np.ndarray, of: np.ndarray, toxic: np.ndarray, weight: np.ndarray, n: int, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of n binary features and the bias that minimise weighted log loss + penalty / 2 * |weights|^2, by accelerated gradient
+    descent. Row at[i] has feature of[i]; toxic and weight are those of rows."""
+    rows = len(toxic)
+    w = np.zeros(n + 1)
     share = min(max(float((weight * toxic).sum() / weight.sum()), 1e-3), 1 - 1e-3)
     w[n] = math.log(share / (1 - share))
     # Step sizes by feature: a quarter of what its rows could add to the curvature at most.
-    width = np.bincount(at, minlength=len(rows)) + 1.0
+    width = np.bincount(at, minlength=rows) + 1.0
     curve = np.append(np.bincount(of, (weight * width)[at], n), (weight * width).sum()) / 4 + penalty
     ahead, speed = w.copy(), 1.0
     for _ in range(rounds):
-        s = np.bincount(at, ahead[of], len(rows)) + ahead[n]
+        s = np.bincount(at, ahead[of], rows) + ahead[n]
         gap = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - toxic)
         slope = np.append(np.bincount(of, gap[at], n) + penalty * ahead[:n], gap.sum())
         new = ahead - slope / curve
@@ -333,26 +332,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return model
     share, seen = t / n, F.col("docs")
     apart = (F.col("marked") - seen * share) * (F.col("marked") - seen * share) >= DEVIATIONS**2 * seen * share * (1 - share)
-    names = sorted(r.feature for r in counted(sample, model).filter((seen >= LEAST_DOCS) & apart).select("feature").collect())  # of fit_rows documents
+    names = sorted(counted(sample, model).filter((seen >= LEAST_DOCS) & apart).select("feature").toArrow()["feature"].to_pylist())  # of fit_rows documents
     number = {x: i for i, x in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
             found = [sorted(number[x] for x in model.features(t) & number.keys()) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([family(t) for t in texts], pa.int64()), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["family", "toxic", "found"])
-
-    rows = sorted(map(tuple, sample.select("text", "toxic").mapInArrow(run, "family long, toxic long, found array<int>").collect()))
-    families = Counter(r[0] for r in rows)
-    of = [set() for _ in names]
-    for r in rows:
-        for x in r[2]:
-            of[x].add(r[0])
-    kept = [i for i, own in enumerate(of) if len(own) >= LEAST_DOCS]
-    place = {i: k for k, i in enumerate(kept)}
-    if kept:
-        found = [[place[x] for x in r[2] if x in place] for r in rows]
-        weights, model.bias = logistic(found, np.array([r[1] > 0 for r in rows], float), np.array([1 / families[r[0]] for r in rows]), len(kept))
+            own = pa.array([zlib.crc32((t or "").encode()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([family(t) for t in texts], pa.int64()), own, b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["family", "own", "toxic", "found"])
+
+    # Arrays of numbers, in an order that does not depend on the run.
+    rows = sample.select("text", "toxic").mapInArrow(run, "family long, own long, toxic long, found array<int>").toArrow().combine_chunks().sort_by([("family", "ascending"), ("own", "ascending")])
+    lists = rows["found"].combine_chunks()
+    at, of = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    _, team, alike = np.unique(rows["family"].to_numpy(), return_inverse=True, return_counts=True)
+    families = np.bincount(np.unique(of.astype(np.int64) * n + team[at]) // n, minlength=len(names))
+    kept = np.flatnonzero(families >= LEAST_DOCS)
+    if len(kept):
+        place = np.full(len(names), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        some = place[of] >= 0
+        weights, model.bias = logistic(at[some], place[of[some]], (rows["toxic"].to_numpy() > 0).astype(float), 1 / alike[team], len(kept))
         model.weights = {names[i]: float(w) for i, w in zip(kept, weights, strict=True)}
     return model
 

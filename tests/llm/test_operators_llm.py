@@ -601,7 +601,8 @@ def test_logistic_is_at_its_least():
     rows = [sorted(set(rng.integers(0, 12, rng.integers(0, 5)).tolist())) for _ in range(400)]
     toxic = np.array([float(rng.random() < (0.8 if 3 in r else 0.2)) for r in rows])
     weight = rng.random(400) + 0.1
-    w, b = toxicity.logistic(rows, toxic, weight, 12, 0.5, 3000)
+    at, of = np.repeat(np.arange(400), [len(r) for r in rows]), np.array([k for r in rows for k in r])
+    w, b = toxicity.logistic(at, of, toxic, weight, 12, 0.5, 3000)
     x = np.zeros((400, 12))
     for i, r in enumerate(rows):
         x[i, r] = 1
