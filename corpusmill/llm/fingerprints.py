@@ -116,8 +116,9 @@ def with_next(docs: DataFrame, columns: tuple[str, ...], order: tuple[str, str],
     outer = F.size(F.filter(F.expr(literal([r[0] for r in rows])), lambda c: c <= key)) - 1
     fine = F.get(F.expr("array(" + ", ".join(map(literal, rows)) + ")"), F.col("_outer"))
     dealt = docs.withColumn("_outer", outer).withColumn("_bucket", F.col("_outer") * FAN + F.size(F.filter(fine, lambda c: c <= key)) - 1).drop("_outer")
-    n = len(cuts)
-    ends = spark.createDataFrame([(i // FAN * FAN + i % FAN, (i - 1) % n, *k) for i, k in enumerate(cuts)], "_own int, _before int, _k0 long, _k1 long")
+    n = F.lit(len(cuts))
+    ends = spark.range(1).select(F.posexplode(F.expr(literal(cuts))).alias("_own", "_cut"))
+    ends = ends.select("_own", F.pmod(F.col("_own") - 1, n).alias("_before"), F.col("_cut")[order[0]].alias("_k0"), F.col("_cut")[order[1]].alias("_k1"))
     tails = dealt.join(F.broadcast(ends), (F.col("_bucket") == F.col("_own")) & F.col(order[0]).eqNullSafe(F.col("_k0")) & F.col(order[1]).eqNullSafe(F.col("_k1")))
     tails = tails.dropDuplicates(["_own"]).withColumn("_bucket", F.col("_before")).drop("_own", "_before", "_k0", "_k1")
     every = derive(dealt.withColumn("_tail", F.lit(False)).unionByName(tails.withColumn("_tail", F.lit(True))))
