@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.functions.textfn import estimate_tokens, first_nonempty, strip
+from corpusmill.functions.textfn import code_blocks, estimate_tokens, first_nonempty, strip
 
 SYSTEM = "You are a helpful programming assistant."
 #: Signs of code in a dialogue (fixed value).
@@ -21,17 +21,21 @@ def dialogue_pairs(turns: DataFrame) -> DataFrame:
 
 
 def build_realuser(pairs: DataFrame, responses: DataFrame | None = None, min_chars: int = 40, hint: str = CODE_HINT) -> DataFrame:
-    """Code-related pairs, stripped; short answers are taken anew from responses (instruction, response), and rows left without one go.
+    """Code-related pairs, stripped, with source, language (Python where there is none) and regenerated.
 
-    Without a table of responses, pairs with short answers go.
+    An answer shorter than min_chars gives way to the first block of its replacement in responses (instruction, response); where there is
+    none it stays, unless it is empty.
     """
-    df = pairs.withColumns({"instruction": strip(F.col("instruction")), "response": strip(F.col("response"))}).filter((F.col("instruction") != "") & (F.col("instruction").rlike(hint) | F.col("response").rlike(hint)))
-    good = F.length("response") >= min_chars
-    if responses is None:
-        return df.filter(good)
-    new = responses.groupBy("instruction").agg(F.min("response").alias("_new"))
-    df = df.join(new, "instruction", "left").withColumn("response", F.when(good, F.col("response")).otherwise(strip(F.coalesce("_new", F.lit("")))))
-    return df.filter("response <> ''").drop("_new")
+    df = pairs.withColumns({"instruction": strip(first_nonempty(F.col("instruction"))), "response": strip(first_nonempty(F.col("response")))})
+    df = df.filter((F.col("instruction") != "") & (F.col("instruction").rlike(hint) | F.col("response").rlike(hint)))
+    new = F.lit(None).cast("string")
+    if responses is not None:
+        df = df.join(responses.groupBy("instruction").agg(F.min("response").alias("_new")), "instruction", "left")
+        new = F.get(code_blocks(F.col("_new")), 0)
+    df = df.withColumn("_block", F.when(F.length("response") < min_chars, new))
+    language = F.coalesce(F.col("language"), F.lit("Python")) if "language" in pairs.columns else F.lit("Python")
+    df = df.withColumns({"response": F.coalesce("_block", "response"), "regenerated": F.col("_block").isNotNull(), "source": F.lit("realuser_instruct"), "language": language})
+    return df.filter("response <> ''").drop("_new", "_block")
 
 
 def chat_text(instruction: Column, response: Column, system: str = SYSTEM) -> Column:

@@ -97,3 +97,23 @@ def aggregate_pass_at_k(counts: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     got = each.groupBy("k").agg(F.avg(pass_at_k(F.col("n"), F.col("c"), F.col("k").cast("long"))).alias("p"), F.count(F.lit(1)).alias("n_problems"), F.count_if(F.col("c") > 0).alias("n_solved"))
     table = spark.createDataFrame([(k,) for k in ks], "k int")
     return table.join(got, "k", "left").select("k", F.coalesce("p", F.lit(0.0)).alias("pass_at_k"), F.coalesce("n_problems", F.lit(0)).alias("n_problems"), F.coalesce("n_solved", F.lit(0)).alias("n_solved"))
+
+
+def first_problems(problems: DataFrame, limit: int | None, order: str = "task_id") -> DataFrame:
+    return problems if limit is None else problems.orderBy(order).limit(limit)
+
+
+def evaluate(problems: DataFrame, generations: DataFrame, program: Column, ks: tuple[int, ...] = (1,), limit: int | None = None, timeout_s: float = 10.0, allow: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(counts per problem, pass@k by k) of problems (task_id, ...) with generations (task_id, generation), a row a sample.
+
+    program makes the text that is run out of both. Problems without a generation have no samples, and do not count.
+    """
+    samples = first_problems(problems, limit).join(generations, "task_id").withColumn("program", program)
+    counts = pass_counts(run_programs(samples.select("task_id", "program"), timeout_s, allow))
+    return counts, aggregate_pass_at_k(counts, ks).orderBy("k")
+
+
+def report_lines(scores: DataFrame) -> list[str]:
+    """One line a k, in order, and how many problems have a sample that passes: scores are as few as ks."""
+    rows = scores.orderBy("k").collect()
+    return [f"pass@{r.k}: {r.pass_at_k:.3f}" for r in rows] + [f"solved: {r.n_solved} of {r.n_problems}" for r in rows[:1]]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +12,19 @@ from corpusmill.config import ExactDedupConfig
 
 
 def content_hash(c: Column, algorithm: str = "sha256") -> Column:
-    if algorithm == "md5":
-        return F.md5(c)
-    if algorithm == "sha1":
-        return F.sha1(c)
-    return F.sha2(c, int(algorithm.removeprefix("sha")))
+    """The hex digest of a text by any algorithm that hashlib knows; md5 and the SHA family stay in the JVM."""
+    if algorithm in ("md5", "sha1"):
+        return F.call_function(algorithm, c)
+    if algorithm in ("sha224", "sha256", "sha384", "sha512"):
+        return F.sha2(c, int(algorithm[3:]))
+    if algorithm not in hashlib.algorithms_available or algorithm.startswith("shake"):
+        raise ValueError(f"no such hash: {algorithm}")
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else hashlib.new(algorithm, t.encode()).hexdigest())
+
+    return digest(c)
 
 
 def keep_best(docs: DataFrame, group: str, keep_by: tuple[str, ...], order: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.config import AnnealingConfig
 from corpusmill.functions.prefix import running_total
 from corpusmill.functions.textfn import estimate_tokens, u01
+from corpusmill.operators import synth
 from corpusmill.sources.scratch import written
 
 
@@ -37,6 +38,20 @@ def mixture(docs: DataFrame, budget: int, cfg: AnnealingConfig = AnnealingConfig
     return docs.join(taken, order).select(*docs.columns, "tokens")
 
 
+def build_annealing(docs: DataFrame, seeds: DataFrame, budget: int, teacher: DataFrame, results: DataFrame | None, cfg: AnnealingConfig = AnnealingConfig()) -> DataFrame:
+    """The mixture of cleaned documents, those with algorithmic keywords, validated snippets and textbook passages.
+
+    docs (ord, path, content) feed the first two; seeds (ord, content) and a teacher the others. Columns: source, path, content, key, tokens.
+    """
+    own = docs.select("ord", "path", "content").withColumn("source", F.lit("refinecode"))
+    parts = (own, sample_algorithmic(own, cfg), synth.snippets(seeds, teacher, results), synth.textbooks(seeds, teacher, cfg))
+    pool = None
+    for i, part in enumerate(parts):
+        part = part.select("source", "path", "content", (F.col("ord") * len(parts) + i).alias("key"))
+        pool = part if pool is None else pool.unionByName(part)
+    return mixture(pool, budget, cfg, order="key")
+
+
 def shuffled(df: DataFrame, seed: int, id: str = "doc_id") -> DataFrame:
     """A seeded order of rows, the same in every run."""
     return df.orderBy(u01(F.col(id), seed), id)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.config import FilterConfig
 from corpusmill.functions.textfn import WS, whitespace_tokens
 
 # Patterns (fixed values).
@@ -26,6 +25,59 @@ SIGNALS = (
 )
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule fires if `signal op threshold` holds on a document in its scope; a null signal never fires."""
+
+    name: str
+    signal: str
+    op: str
+    threshold: float | bool
+    categories: tuple[str, ...] = ()
+    languages: tuple[str, ...] = ()
+
+    def fires(self) -> Column:
+        ops = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne}
+        hit = ops[self.op](F.col(self.signal), F.lit(self.threshold))
+        if self.categories:
+            hit &= F.col("category").isin(*self.categories)
+        if self.languages:
+            hit &= F.col("language").isin(*self.languages)
+        return F.coalesce(hit, F.lit(False))
+
+
+TEXTS, FILES, CODE, PYTHON = ("text",), ("code", "data"), ("code",), ("Python",)
+#: Rules in the order in which they are reported (fixed values).
+RULES = (
+    Rule("nl_low_alpha", "fraction_alphabetic", "<", 0.25, TEXTS),
+    Rule("nl_high_numeric", "fraction_numeric", ">", 0.50, TEXTS),
+    Rule("nl_too_few_lines", "num_lines", "<", 3, TEXTS),
+    Rule("nl_long_mean_line", "mean_line_length", ">", 200, TEXTS),
+    Rule("nl_long_max_line", "max_line_length", ">", 2000, TEXTS),
+    Rule("code_long_string_lines", "long_string_line_ratio", ">", 0.20, FILES),
+    Rule("code_long_string_chars", "long_string_word_char_ratio", ">", 0.40, FILES),
+    Rule("code_high_hex", "hex_char_ratio", ">", 0.40, FILES),
+    Rule("code_placeholder_lines", "placeholder_line_ratio", ">", 0.01, FILES),
+    Rule("code_assert_lines", "assert_line_ratio", ">", 0.40, FILES),
+    Rule("code_too_few_lines", "num_lines", "<", 3, FILES),
+    Rule("code_long_mean_line", "mean_line_length", ">", 100, FILES),
+    Rule("code_long_max_line", "max_line_length", ">", 1000, FILES),
+    Rule("code_low_alpha", "fraction_alphabetic", "<", 0.25, CODE),
+    Rule("py_func_ratio", "python_func_line_ratio", ">", 0.20, (), PYTHON),
+    Rule("py_import_ratio", "python_import_line_ratio", ">", 0.30, (), PYTHON),
+    Rule("py_not_parseable", "python_ast_parseable", "==", False, (), PYTHON),
+)
+
+
+@dataclass(frozen=True)
+class FilterConfig:
+    """Words of a string, and characters of a word, from which on they are long (fixed values); the rules."""
+
+    long_string_words: int = 12
+    long_word_chars: int = 20
+    rules: tuple[Rule, ...] = RULES
+
+
 @F.pandas_udf(T.BooleanType())
 def parseable(texts: pd.Series) -> pd.Series:
     """Whether Python parses a text; null for a null text."""
@@ -80,53 +132,9 @@ def compute_signals(docs: DataFrame, cfg: FilterConfig = FilterConfig()) -> Data
     }).drop("_lines")
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A rule fires if `signal op threshold` holds on a document in its scope; a null signal never fires."""
-
-    name: str
-    signal: str
-    op: str
-    threshold: float | bool
-    categories: tuple[str, ...] = ()
-    languages: tuple[str, ...] = ()
-
-    def fires(self) -> Column:
-        ops = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne}
-        hit = ops[self.op](F.col(self.signal), F.lit(self.threshold))
-        if self.categories:
-            hit &= F.col("category").isin(*self.categories)
-        if self.languages:
-            hit &= F.col("language").isin(*self.languages)
-        return F.coalesce(hit, F.lit(False))
-
-
-def build_rules(cfg: FilterConfig = FilterConfig()) -> list[Rule]:
-    text, either, code, python = ("text",), ("code", "data"), ("code",), ("Python",)
-    rules = [
-        Rule("nl_low_alpha", "fraction_alphabetic", "<", cfg.nl_min_alpha, text),
-        Rule("nl_high_numeric", "fraction_numeric", ">", cfg.nl_max_numeric, text),
-        Rule("nl_too_few_lines", "num_lines", "<", cfg.nl_min_lines, text),
-        Rule("nl_long_mean_line", "mean_line_length", ">", cfg.nl_max_mean_line, text),
-        Rule("nl_long_max_line", "max_line_length", ">", cfg.nl_max_line, text),
-        Rule("code_long_string_lines", "long_string_line_ratio", ">", cfg.code_max_long_string_lines, either),
-        Rule("code_long_string_chars", "long_string_word_char_ratio", ">", cfg.code_max_long_string_chars, either),
-        Rule("code_high_hex", "hex_char_ratio", ">", cfg.code_max_hex, either),
-        Rule("code_placeholder_lines", "placeholder_line_ratio", ">", cfg.code_max_placeholder, either),
-        Rule("code_assert_lines", "assert_line_ratio", ">", cfg.code_max_assert, either),
-        Rule("code_too_few_lines", "num_lines", "<", cfg.code_min_lines, either),
-        Rule("code_long_mean_line", "mean_line_length", ">", cfg.code_max_mean_line, either),
-        Rule("code_long_max_line", "max_line_length", ">", cfg.code_max_line, either),
-        Rule("code_low_alpha", "fraction_alphabetic", "<", cfg.code_min_alpha, code),
-        Rule("py_func_ratio", "python_func_line_ratio", ">", cfg.py_max_func, (), python),
-        Rule("py_import_ratio", "python_import_line_ratio", ">", cfg.py_max_import, (), python),
-    ]
-    return rules + [Rule("py_not_parseable", "python_ast_parseable", "==", False, (), python)] * cfg.require_parseable
-
-
 def annotate(docs: DataFrame, cfg: FilterConfig = FilterConfig(), rules: list[Rule] | None = None) -> DataFrame:
     """docs with signals and filtered_by: the names of the rules that fire, in the rules' order."""
-    rules = build_rules(cfg) if rules is None else rules
+    rules = cfg.rules if rules is None else rules
     fired = F.array(*(F.when(r.fires(), F.lit(r.name)) for r in rules)) if rules else F.array().cast("array<string>")
     return compute_signals(docs, cfg).withColumn("filtered_by", F.filter(fired, lambda x: x.isNotNull()))
 
@@ -137,4 +145,6 @@ def keep_unfired(annotated: DataFrame) -> DataFrame:
 
 def rule_hits(annotated: DataFrame) -> DataFrame:
     """(rule, n) of every rule that fired; a document counts under each of its rules."""
-    return annotated.select(F.explode("filtered_by").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    # Rows with the same rules are counted first, and the outer form keeps a filter from computing every signal a second time.
+    alike = annotated.groupBy("filtered_by").agg(F.count(F.lit(1)).alias("n"))
+    return alike.select(F.explode_outer("filtered_by").alias("rule"), "n").groupBy("rule").agg(F.sum("n").alias("n")).filter("rule is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.config import LIGHT, AnnealingConfig, DownsampleConfig, NearDedupConfig, RedactConfig
-from corpusmill.functions.textfn import code_blocks, estimate_tokens
+from corpusmill.functions.textfn import code_blocks, estimate_tokens, strip
 from corpusmill.operators import admit as adm
 from corpusmill.operators import chat, decontam, evalkit, mixture, near_dedup, recall, redact, sampling, signals, synth, training
 from corpusmill.operators.exact_dedup import exact_dedup as dedup
@@ -99,6 +99,11 @@ def near_dedup_light(spark, sf_dir):
     return near_dedup.near_dedup(tables.documents(spark, sf_dir), LIGHT).select("doc_id", "stars")
 
 
+def near_dedup_full(spark, sf_dir):
+    """2048 permutations in 16 bands of 128 rows, too slow for SQL."""
+    return near_dedup.near_dedup(tables.documents(spark, sf_dir), NearDedupConfig()).select("doc_id", "stars")
+
+
 def downsample_languages(spark, sf_dir):
     return sampling.downsample(_admitted(spark, sf_dir), DownsampleConfig()).select("doc_id", "language")
 
@@ -182,7 +187,12 @@ def dialogue_pairs(spark, sf_dir):
 
 
 def realuser_filter(spark, sf_dir):
-    return chat.build_realuser(_pairs(spark, sf_dir), hint=HINT).select("conv_id", "turn", F.length("response").cast("long").alias("n_chars"))
+    """Short answers of every second conversation have a replacement."""
+    pairs = _pairs(spark, sf_dir)
+    new = pairs.filter("conv_id % 2 = 0").select(strip(F.col("instruction")).alias("instruction"), F.lit("Try:\n```python\ndef f(): pass\n```\n").alias("response"))
+    odd = chat.build_realuser(pairs.filter("conv_id % 2 = 1"), hint=HINT)
+    made = odd.unionByName(chat.build_realuser(pairs.filter("conv_id % 2 = 0"), new, hint=HINT))
+    return made.select("conv_id", "turn", "response", "regenerated", "source", "language")
 
 
 def chat_format(spark, sf_dir):
@@ -216,6 +226,23 @@ def ingest_gates(spark, sf_dir):
     return ingest.counters(_ingested(spark, sf_dir))
 
 
+def ingest_limited(spark, sf_dir):
+    """Twenty documents of each source, in the order of ids, which stand in their paths."""
+    judged = _ingested(spark, sf_dir).withColumn("ord", F.regexp_extract("path", r"(\d+)\.py$", 1).cast("long"))
+    return ingest.stats(ingest.limited(judged, 20, "ord", "repo_name"))
+
+
+def educational_examples(spark, sf_dir):
+    """Seeds that parse, with a scripted teacher; code is not run."""
+    docs = tables.read(spark, sf_dir, "documents")
+    seeds = docs.select(F.col("doc_id").alias("ord"), F.format_string("def f%d(x):\n    # %s\n    return x\n", "doc_id", F.md5("text")).alias("content"))
+    answers = seeds.select(synth.answer_prompt(F.col("content"), F.lit("Python")).alias("p")).withColumn("a", synth.scripted_answer(F.col("p")))
+    tests = seeds.withColumn("p", synth.answer_prompt(F.col("content"), F.lit("Python"))).withColumn("s", F.get(code_blocks(synth.scripted_answer(F.col("p"))), 0))
+    tests = tests.select(synth.tests_prompt(F.col("content"), F.col("s"), F.lit("Python")).alias("p")).withColumn("a", synth.scripted_answer(F.col("p")))
+    teacher = answers.unionByName(tests).select(synth.prompt_key(F.col("p")).alias("prompt_key"), F.col("a").alias("response"))
+    return synth.educational(seeds, teacher, None).select("ord", "instruction", "seed_quality")
+
+
 def ingest_documents(spark, sf_dir):
     docs = ingest.to_documents(_ingested(spark, sf_dir), F.lit("Python"))
     return docs.select("doc_id", "path", "repo_name", "stars", "commit_time", "category")
@@ -247,18 +274,18 @@ def extract_code_blocks(spark, sf_dir):
 
 def completion_truncate(spark, sf_dir):
     text = F.concat(F.col("source"), F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("\nprint(1)\nclass A")).otherwise(F.lit("")))
-    return tables.read(spark, sf_dir, "documents").select("doc_id", F.length(evalkit.completion(F.col("source"), text)).cast("long").alias("n_chars"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.md5(evalkit.completion(F.col("source"), text)).alias("text_md5"))
 
 
 def build_programs(spark, sf_dir):
     docs = tables.read(spark, sf_dir, "documents")
     program = evalkit.completion_program(F.col("source"), F.col("lang"), F.lit("def check(f): pass"), F.col("text"))
     other = evalkit.function_program(F.when(F.col("doc_id") % 2 == 0, "import math").otherwise(""), F.array(F.lit("assert a"), F.lit("assert b")), F.col("text"))
-    return docs.select("doc_id", F.length(program).cast("long").alias("completion_chars"), F.length(other).cast("long").alias("function_chars"))
+    return docs.select("doc_id", F.md5(program).alias("completion_md5"), F.md5(other).alias("function_md5"))
 
 
 def clean_seeds(spark, sf_dir):
-    return tables.read(spark, sf_dir, "documents").select("doc_id", F.length(synth.clean_seed(F.col("text"))).cast("long").alias("n_chars"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.md5(synth.clean_seed(F.col("text"))).alias("text_md5"))
 
 
 def seed_scores(spark, sf_dir):

@@ -175,7 +175,7 @@ UNION ALL SELECT '4_transform', count(*) FROM ex UNION ALL SELECT '5_filter', co
     "compose_quota": _COMPOSED + "SELECT doc_id, source, stage FROM cp",
     "compose_report": _COMPOSED + "SELECT q.stage, q.source, target::BIGINT AS target, count(cp.doc_id) AS actual FROM q LEFT JOIN cp ON q.stage = cp.stage AND q.source = cp.source GROUP BY ALL",
     "dialogue_pairs": _PAIRS + "SELECT * FROM pr",
-    "realuser_filter": _PAIRS + f", sp AS (SELECT conv_id, turn, {strip('instruction')} AS i, {strip('response')} AS r FROM pr) SELECT conv_id, turn, length(r)::BIGINT AS n_chars FROM sp WHERE i <> '' AND regexp_matches(i || chr(10) || r, '(?i)tion|ing') AND length(r) >= 40",
+    "realuser_filter": _PAIRS + f", sp AS (SELECT conv_id, turn, {strip('instruction')} AS i, {strip('response')} AS r FROM pr) SELECT conv_id, turn, CASE WHEN length(r) < 40 AND conv_id % 2 = 0 THEN 'def f(): pass' ELSE r END AS response, length(r) < 40 AND conv_id % 2 = 0 AS regenerated, 'realuser_instruct' AS source, 'Python' AS language FROM sp WHERE i <> '' AND regexp_matches(i || chr(10) || r, '(?i)tion|ing') AND (r <> '' OR conv_id % 2 = 0)",
     "chat_format": _PAIRS + f", ch AS (SELECT conv_id, turn, {_CHAT} AS text FROM pr) SELECT conv_id, turn, text, {tokens('text')} AS tokens FROM ch",
     "token_estimate": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
     "pack_segments": _SEGMENTS + "SELECT block::BIGINT AS block, ord, block_start::BIGINT AS block_start, doc_start::BIGINT AS doc_start, length::BIGINT AS length FROM sg",
@@ -186,12 +186,15 @@ UNION ALL SELECT '4_transform', count(*) FROM ex UNION ALL SELECT '5_filter', co
     "pass_at_k": _COUNTS + "SELECT task_id, k, round(p, 9) AS p FROM ek",
     "pass_at_k_mean": _COUNTS + "SELECT k, round(avg(p), 9) AS pass_at_k, count(*) AS n_problems, count(*) FILTER (WHERE c > 0) AS n_solved FROM ek GROUP BY k",
     "extract_code_blocks": f"WITH x AS (SELECT doc_id, {_FENCED} AS t FROM documents), y AS (SELECT doc_id, {_BLOCKS('t')} AS b FROM x) SELECT doc_id, len(b) AS n, md5(b[1]) AS first_md5, md5(b[-1]) AS last_md5 FROM y",
-    "completion_truncate": f"WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'print(1)' || chr(10) || 'class A' ELSE '' END AS t FROM documents) SELECT doc_id, length({_CUT('t')})::BIGINT AS n_chars FROM x",
+    "completion_truncate": f"WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'print(1)' || chr(10) || 'class A' ELSE '' END AS t FROM documents) SELECT doc_id, md5({_CUT('t')}) AS text_md5 FROM x",
     "build_programs": f"""WITH x AS (SELECT doc_id, source, lang, text AS t, {_BLOCKS('text')} AS b FROM documents), y AS (SELECT *, list_filter(b, lambda z: contains(z, 'def ' || lang))[1] AS full_block,
   source || CASE WHEN starts_with(t, source) THEN {_CUT('substr(t, length(source) + 1)')} ELSE {_CUT('t')} END AS own FROM x)
-SELECT doc_id, length(coalesce(full_block, own) || chr(10) || chr(10) || 'def check(f): pass' || chr(10) || chr(10) || 'check(' || lang || ')' || chr(10))::BIGINT AS completion_chars,
-  length(CASE WHEN doc_id % 2 = 0 THEN 'import math' || chr(10) ELSE '' END || coalesce(b[-1], {strip('t')}) || chr(10) || 'assert a' || chr(10) || 'assert b' || chr(10))::BIGINT AS function_chars FROM y""",
-    "clean_seeds": f"WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?]+[.!?]') AS s0 FROM documents), y AS (SELECT *, CASE WHEN len(s0) > 0 THEN s0 ELSE [text] END AS sn FROM x), z AS (SELECT doc_id, text, {_KEPT} AS kept FROM y) SELECT doc_id, length(CASE WHEN kept <> '' THEN kept ELSE {strip('text')} END)::BIGINT AS n_chars FROM z",
+SELECT doc_id, md5(coalesce(full_block, own) || chr(10) || chr(10) || 'def check(f): pass' || chr(10) || chr(10) || 'check(' || lang || ')' || chr(10)) AS completion_md5,
+  md5(CASE WHEN doc_id % 2 = 0 THEN 'import math' || chr(10) ELSE '' END || coalesce(b[-1], {strip('t')}) || chr(10) || 'assert a' || chr(10) || 'assert b' || chr(10)) AS function_md5 FROM y""",
+    "clean_seeds": f"WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?]+[.!?]') AS s0 FROM documents), y AS (SELECT *, CASE WHEN len(s0) > 0 THEN s0 ELSE [text] END AS sn FROM x), z AS (SELECT doc_id, text, {_KEPT} AS kept FROM y) SELECT doc_id, md5(CASE WHEN kept <> '' THEN kept ELSE {strip('text')} END) AS text_md5 FROM z",
     "teacher_misses": f"SELECT DISTINCT length({_PROMPT})::BIGINT AS n_chars, md5({_PROMPT}) AS prompt_md5 FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "textbook_passages": "SELECT 'synthetic/textbook_' || doc_id || '.md' AS path, 'About ' || md5(text) AS content, 'code_textbook' AS source, length(text) AS from_snippet_chars FROM documents WHERE length(text) >= 120 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "ingest_limited": _INGESTED + """, y AS (SELECT *, coalesce(sum((status = 'yielded')::INT) OVER (PARTITION BY repo_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS got FROM st),
+z AS (SELECT status FROM y WHERE got < 20) SELECT status, count(*) AS n FROM z GROUP BY ALL UNION ALL SELECT 'seen', count(*) FROM z""",
+    "educational_examples": "SELECT doc_id AS ord, 'Study this snippet and write a well-documented solution:' || chr(10) || 'def f' || doc_id || '(x):' || chr(10) || '    # ' || md5(text) || chr(10) || '    return x' || chr(10) AS instruction, 0.8::DOUBLE AS seed_quality FROM documents",
 }

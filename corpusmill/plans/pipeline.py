@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.config import LIGHT, AdmitConfig, DownsampleConfig, ExactDedupConfig, FilterConfig, NearDedupConfig, RedactConfig
+from corpusmill.config import LIGHT, AdmitConfig, DownsampleConfig, ExactDedupConfig, NearDedupConfig, RedactConfig
 from corpusmill.operators.admit import admit
 from corpusmill.operators.exact_dedup import exact_dedup
 from corpusmill.operators.near_dedup import near_dedup
 from corpusmill.operators.redact import transform_documents
 from corpusmill.operators.sampling import downsample
-from corpusmill.operators.signals import annotate, keep_unfired, rule_hits
+from corpusmill.operators.signals import FilterConfig, annotate, keep_unfired, rule_hits
 from corpusmill.sources.scratch import written
 
 
@@ -33,6 +33,11 @@ class PipelineResult:
     stage_counts: DataFrame
     rule_hits: DataFrame
 
+    def summary(self) -> list[str]:
+        """One line a stage, in order, then one a rule, the most frequent first: rows are as few as stages and rules."""
+        stages = [f"{r.stage}: {r.n}" for r in self.stage_counts.orderBy("stage").collect()]
+        return stages + [f"{r.rule}: {r.n}" for r in self.rule_hits.orderBy(F.desc("n"), "rule").collect()]
+
 
 def run_pipeline(docs: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> PipelineResult:
     """docs (content, path, stars, commit_time, source, doc_id, ord) through all stages, with rows after each and hits of each rule.

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.prefix import running_total
 from corpusmill.functions.textfn import first_nonempty
 from corpusmill.sources.languages import category
 
@@ -62,6 +63,20 @@ def ingest_status(rows: DataFrame, blobs: DataFrame, max_bytes: int = MAX_BYTES)
     return df.withColumn("status", status).drop("_blob", "_found")
 
 
+def limited(judged: DataFrame, limit: int, order: str, language: str = "language") -> DataFrame:
+    """The rows of each language, by `order` (a long that tells rows apart), up to the one that is the limit-th to be yielded.
+
+    A running sum says how many are yielded before a row, so that no language meets in one task.
+    """
+    flags = judged.select(language, order, (F.col("status") == "yielded").cast("long").alias("_got"))
+    return judged.join(running_total(flags, "_got", order, by=language, into="_before").filter(F.col("_before") < limit).select(order), order, "left_semi")
+
+
+def stats(judged: DataFrame) -> DataFrame:
+    """counters, and all rows as 'seen'."""
+    return counters(judged).unionByName(judged.agg(F.count(F.lit(1)).alias("n")).select(F.lit("seen").alias("status"), "n"))
+
+
 def counters(judged: DataFrame) -> DataFrame:
     return judged.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.config import AdmitConfig, FilterConfig, RedactConfig
+from corpusmill.config import AdmitConfig, RedactConfig
 from corpusmill.operators.admit import admit
 from corpusmill.operators.exact_dedup import content_hash
 from corpusmill.operators.redact import transform_documents
-from corpusmill.operators.signals import annotate, keep_unfired
+from corpusmill.operators.signals import FilterConfig, annotate, keep_unfired
 from corpusmill.sources.jsonl import DEFAULTS, DOCUMENT_DDL
 
 
@@ -30,5 +30,12 @@ def first_seen(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return stream.withColumn("_hash", content_hash(F.col("content"))).withWatermark(time, delay).dropDuplicatesWithinWatermark(["_hash"]).drop("_hash")
 
 
+def keep_best(stream: DataFrame, keep_by: tuple[str, ...] = ("stars", "commit_time")) -> DataFrame:
+    """(_hash, best) of each content seen so far: the row with the greatest keep_by columns, then the greatest path. A running maximum, in update
+    mode, so that a better copy that comes later takes the place of an earlier one in a sink that is keyed by _hash."""
+    rank = F.struct(*(F.col(c) for c in keep_by), F.struct(*(F.col(c) for c in ("path", "doc_id", "content", "source"))).alias("row"))
+    return stream.withColumn("_hash", content_hash(F.col("content"))).groupBy("_hash").agg(F.max(rank).alias("best"))
+
+
 def write(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

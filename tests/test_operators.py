@@ -169,7 +169,7 @@ def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "def q"), (1, 2, "assistant", "short"), (2, 0, "user", "x"), (2, 1, "user", "import y"), (2, 2, "assistant", "z" * 50)], "conv_id long, turn long, role string, text string")
     pairs = chat.dialogue_pairs(turns)
     assert values(pairs, "conv_id", "turn") == [(1, 1), (2, 1)]
-    assert values(chat.build_realuser(pairs), "conv_id") == [(2,)]
+    assert values(chat.build_realuser(pairs), "conv_id", "response", "regenerated") == [(1, "short", False), (2, "z" * 50, False)]  # a short answer stays where there is no other
     new = spark.createDataFrame([("def q", " better ")], "instruction string, response string")
     assert values(chat.build_realuser(pairs, new), "conv_id", "response")[0] == (1, "better")
     assert chat.format_dataset(pairs).filter("conv_id = 1").first().text == "<|system|>\nYou are a helpful programming assistant.\n<|user|>\ndef q\n<|assistant|>\nshort\n<|end|>"
@@ -228,3 +228,88 @@ def test_pipeline_counts_fall(spark):
     result = run_pipeline(df)
     counts = [r.n for r in result.stage_counts.orderBy("stage").collect()]
     assert counts == sorted(counts, reverse=True) and [r.doc_id for r in result.documents.collect()] == ["2"]
+
+
+def test_any_hash(spark):
+    import hashlib
+
+    from corpusmill.operators.exact_dedup import content_hash
+
+    df = spark.createDataFrame([("é",), (None,)], "t string")
+    for name in ("md5", "sha1", "sha224", "sha512", "blake2b", "sha3_256"):
+        assert [r[0] for r in df.select(content_hash(F.col("t"), name)).collect()] == [hashlib.new(name, "é".encode()).hexdigest(), None]
+    with pytest.raises(ValueError):
+        content_hash(F.col("t"), "nothing")
+
+
+def test_names_of_any_form_stand_in_long_lists(spark):
+    bench = spark.createDataFrame([], "text string")
+    rows = spark.createDataFrame([(1, "call a.b-c now"), (2, "call a.b-cd now"), (3, "the n7, here"), (4, "n70000 is not"), (5, "two words")], "id long, text string")
+    for more in (0, 600):
+        judged = decontam.decontaminate(rows, bench, ["a.b-c", "n7", "two words"] + [f"q{i}" for i in range(more)])
+        assert values(judged, "id", F.coalesce("reason", F.lit("-"))) == [(1, "entry_point"), (2, "-"), (3, "entry_point"), (4, "-"), (5, "entry_point")]
+    grams = spark.createDataFrame([("one two three four five six seven eight nine ten eleven",)], "text string")
+    far = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten"), (2, "one two three four five six seven eight nine")], "id long, text string")
+    for most in (2_000_000, 0):
+        decontam.BROADCAST_GRAMS, old = most, decontam.BROADCAST_GRAMS
+        assert values(decontam.decontaminate(far, grams, []), "id", F.coalesce("reason", F.lit("-"))) == [(1, "ngram"), (2, "-")]
+        decontam.BROADCAST_GRAMS = old
+
+
+def _teacher(spark, prompts):
+    return prompts.select(synth.prompt_key(F.col("p")).alias("prompt_key"), synth.scripted_answer(F.col("p")).alias("response"))
+
+
+def test_synthesis_with_a_scripted_teacher(spark):
+    """Each turn's prompts are answered once its table is there, as a run against a cache goes."""
+    seeds = spark.createDataFrame([(1, "def area(r):\n    # of a circle\n    return 3 * r * r\n\nprint(area(2))\n"), (2, "not python (")], "ord long, content string")
+    asked = seeds.select(synth.answer_prompt(F.col("content"), F.lit("Python")).alias("p"), "content")
+    solved = asked.withColumn("s", F.get(code_blocks(synth.scripted_answer(F.col("p"))), 0))
+    tests = solved.select(synth.tests_prompt(F.col("content"), F.col("s"), F.lit("Python")).alias("p"))
+    teacher = _teacher(spark, asked.select("p").unionByName(tests))
+    programs = solved.select("s", synth.tests_prompt(F.col("content"), F.col("s"), F.lit("Python")).alias("p")).select(F.concat("s", F.lit("\n\n"), F.get(code_blocks(synth.scripted_answer(F.col("p"))), 0), F.lit("\n")).alias("program"))
+    results = evalkit.run_programs(programs, allow=True).select(F.sha2("program", 256).alias("program_key"), "passed")
+    assert results.filter("passed").count() == 2
+    rows = synth.educational(seeds, teacher, results).collect()
+    assert [(r.ord, r.validated, r.instruction.split("\n")[0]) for r in rows] == [(1, True, "Study this snippet and write a well-documented solution:")] and rows[0].response.startswith("def solution_")
+    assert synth.snippets(seeds, teacher, results).count() == 2
+    mixed = mixture.build_annealing(seeds.withColumn("path", F.lit("a/greedy.py")), seeds, 10_000, teacher, results)
+    assert {r.source for r in mixed.collect()} == {"refinecode", "algorithmic", "synthetic_snippet"}
+
+
+def test_apis_and_their_examples(spark, tmp_path):
+    apis = synth.api_table(spark, ("json", "no_such_library"), 2)
+    assert values(apis, "library", "api") == [("json", "JSONDecodeError"), ("json", "JSONDecoder")]
+    prompts = apis.select(synth.package_prompt(F.col("library"), F.col("api"), F.col("signature"), F.col("doc")).alias("p"))
+    asked = prompts.select(synth.prompt_key(F.col("p")).alias("prompt_key"), F.col("p").alias("prompt"))
+    path = str(tmp_path / "teacher")
+    teacher = synth.write_back(asked, synth.scripted_answer(F.col("prompt")), path)
+    made = synth.package(apis, teacher).collect()
+    assert len(made) == 2 and all(r.instruction.startswith("Using the current version of `json`, show how to use `json.JSONDecode") for r in made)
+    assert synth.missing(prompts, F.col("p"), teacher).count() == 0
+
+
+def test_limit_per_language(spark):
+    rows = spark.createDataFrame([(i, ["a", "b"][i % 2], "yielded" if i % 3 else "skip_empty") for i in range(40)], "ord long, language string, status string")
+    got = ingest.limited(rows, 3, "ord")
+    assert values(got.filter("status = 'yielded'").groupBy("language").count(), "language", "count") == [("a", 3), ("b", 3)]
+    assert dict(values(ingest.stats(got), "status", "n")) == {"yielded": 6, "skip_empty": 3, "seen": 9}
+
+
+def test_evaluation(spark):
+    problems = spark.createDataFrame([("t1", "def f():\n", "f", "def check(g):\n    assert g() == 1\n"), ("t2", "def f():\n", "f", "def check(g):\n    assert g() == 2\n")], "task_id string, prompt string, entry_point string, test string")
+    generations = spark.createDataFrame([("t1", "    return 1\n"), ("t1", "    return 2\n"), ("t2", "    return 1\n"), ("t2", "    return 1\n")], "task_id string, generation string")
+    program = evalkit.completion_program(F.col("prompt"), F.col("entry_point"), F.col("test"), F.col("generation"))
+    counts, scores = evalkit.evaluate(problems, generations, program, (2, 1), allow=True)
+    assert values(counts, "task_id", "n", "c") == [("t1", 2, 1), ("t2", 2, 0)]
+    assert evalkit.report_lines(scores) == ["pass@1: 0.250", "pass@2: 0.500", "solved: 1 of 2"]
+    assert evalkit.evaluate(problems, generations, program, limit=1, allow=True)[0].count() == 1
+
+
+def test_best_copies_on_a_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"content": "x", "stars": 1, "path": "p"}\n{"content": "y", "stars": 3, "path": "q"}\n{"content": "x", "stars": 7, "path": "r"}\n')
+    query = stages.keep_best(stages.read_documents(spark, str(folder))).writeStream.format("memory").queryName("best_copies").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert values(spark.table("best_copies"), "best.row.path", "best.stars") == [("q", 3), ("r", 7)]
