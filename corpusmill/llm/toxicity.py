@@ -293,17 +293,25 @@ def logistic(at: np.ndarray, of: np.ndarray, toxic: np.ndarray, weight: np.ndarr
     """Weights of n binary features and the bias that minimise weighted log loss + penalty / 2 * |weights|^2, by accelerated gradient
     descent. Row at[i] has feature of[i]; toxic and weight are those of rows."""
     rows = len(toxic)
+
+    def summed(index: np.ndarray, size: int, values: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """values[by] summed by index, a stretch at a time."""
+        total = np.zeros(size)
+        for lo in range(0, len(index), 500_000):
+            total += np.bincount(index[lo : lo + 500_000], values[by[lo : lo + 500_000]], size)
+        return total
+
     w = np.zeros(n + 1)
     share = min(max(float((weight * toxic).sum() / weight.sum()), 1e-3), 1 - 1e-3)
     w[n] = math.log(share / (1 - share))
     # Step sizes by feature: a quarter of what its rows could add to the curvature at most.
     width = np.bincount(at, minlength=rows) + 1.0
-    curve = np.append(np.bincount(of, (weight * width)[at], n), (weight * width).sum()) / 4 + penalty
+    curve = np.append(summed(of, n, weight * width, at), (weight * width).sum()) / 4 + penalty
     ahead, speed = w.copy(), 1.0
     for _ in range(rounds):
-        s = np.bincount(at, ahead[of], rows) + ahead[n]
+        s = summed(at, rows, ahead, of) + ahead[n]
         gap = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - toxic)
-        slope = np.append(np.bincount(of, gap[at], n) + penalty * ahead[:n], gap.sum())
+        slope = np.append(summed(of, n, gap, at) + penalty * ahead[:n], gap.sum())
         new = ahead - slope / curve
         faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
         if float(slope @ (new - w)) > 0:  # uphill: start anew from here
@@ -347,7 +355,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     lists = rows["found"].combine_chunks()
     at, of = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
     _, team, alike = np.unique(rows["family"].to_numpy(), return_inverse=True, return_counts=True)
-    families = np.bincount(np.unique(of.astype(np.int64) * n + team[at]) // n, minlength=len(names))
+    families, last, edges = np.zeros(len(names), np.int64), np.full(len(names), -1), lists.offsets.to_numpy()
+    for i in range(n):  # rows of a family stand together
+        own = of[edges[i] : edges[i + 1]]
+        families[own] += last[own] != team[i]
+        last[own] = team[i]
     kept = np.flatnonzero(families >= LEAST_DOCS)
     if len(kept):
         place = np.full(len(names), -1, np.int64)
