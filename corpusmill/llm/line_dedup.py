@@ -84,16 +84,17 @@ def templates(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS,
     leaves = written(leaves.filter(F.col("_docs") >= need).select("leaf"))
     # Texts of lines are wanted for these leaves alone: sent to all tasks while few, joined by shuffle beyond.
     side = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    counts = places.join(side, "leaf", "left_semi").groupBy("leaf", "line_id", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("owner"))
+    inside = written(places.join(side, "leaf", "left_semi"))
+    counts = inside.groupBy("leaf", "line_id", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("owner"))
     line = F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")
     rows = docs.select(line).filter("line <> ''").withColumn("leaf", _leaf(F.col("line"), leading))
     rows = rows.join(side, "leaf", "left_semi").select("line").distinct().select(F.xxhash64("line").alias("line_id"), F.split("line", " ").alias("words"))
     found = written(counts.join(rows, "line_id"))
     words = found.select("leaf", "line_id", "docs", F.posexplode(F.transform("words", lambda w: F.when(w != MASK, F.xxhash64(w)))).alias("at", "word")).filter("word is not null")
-    stable = _enough(words, ["leaf", "at", "word"], places, min_docs)
+    stable = _enough(words, ["leaf", "at", "word"], inside, min_docs)
     shape = words.join(stable, ["leaf", "at", "word"]).groupBy("leaf", "line_id").agg(F.count(F.lit(1)).alias("constant"), F.bit_xor(F.xxhash64("at", "word")).alias("template"))
     shape = written(found.drop("words").join(shape, ["leaf", "line_id"]).filter(F.col("constant") * 1000 >= F.col("n") * round(share * 1000)))
-    recurring = _enough(shape, ["leaf", "constant", "template"], places, min_docs, F.min("owner").alias("first"))
+    recurring = _enough(shape, ["leaf", "constant", "template"], inside, min_docs, F.min("owner").alias("first"))
     gone = shape.join(recurring, ["leaf", "constant", "template"]).select("leaf", "line_id", F.col("first").alias("owner"))
     plain = F.size(F.filter("words", lambda w: w != MASK))
     passages = found.filter((F.col("n") >= long) & (F.col("docs") >= long_docs) & (plain * 1000 >= F.col("n") * round(share * 1000)))
