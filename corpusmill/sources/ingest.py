@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.prefix import running_total
@@ -28,6 +28,17 @@ def parse_time(*fields: Column) -> Column:
     return F.coalesce(*tries, F.lit(0.0))
 
 
+def write_partitioned(rows: DataFrame, path: str, language: str = "language") -> None:
+    """Metadata rows as Parquet, one folder a language; no shuffle, so a task writes a file for each language it holds."""
+    rows.write.mode("overwrite").partitionBy(language).parquet(path)
+
+
+def read_language(spark: SparkSession, path: str, *names: str, language: str = "language") -> DataFrame:
+    """The rows of the named languages (all without a name): the folders of others are never listed as input."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col(language).isin(*names)) if names else rows
+
+
 def decode_blobs(blobs: DataFrame) -> DataFrame:
     """(blob_id, src_encoding, raw: binary) -> (blob_id, content): gzip is unpacked, bytes that the encoding lacks are replaced, an unknown encoding is read as UTF-8."""
 

@@ -32,8 +32,9 @@ def read_labelled(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, *paths: str, field: str = "content") -> DataFrame:
-    """One text a record: the named field, else 'text', else ''."""
-    return spark.read.schema(f"{field} string" + ("" if field == "text" else ", text string")).json(list(paths)).select(first_nonempty(F.col(field), F.col("text")).alias("text"))
+    """One text a record: the named field, else 'text'; records with neither, or with an empty one, are left out."""
+    texts = spark.read.schema(f"{field} string" + ("" if field == "text" else ", text string")).json(list(paths)).select(first_nonempty(F.col(field), F.col("text")).alias("text"))
+    return texts.filter("text <> ''")
 
 
 def write(df: DataFrame, path: str, gzip: bool = False) -> int:

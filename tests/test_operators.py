@@ -313,3 +313,28 @@ def test_best_copies_on_a_stream(spark, tmp_path):
     query = stages.keep_best(stages.read_documents(spark, str(folder))).writeStream.format("memory").queryName("best_copies").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert values(spark.table("best_copies"), "best.row.path", "best.stars") == [("q", 3), ("r", 7)]
+
+
+def test_sample_problems_pass_with_their_solutions(spark):
+    first = problems.sample_completion(spark)
+    program = evalkit.completion_program(F.col("prompt"), F.col("entry_point"), F.col("test"), F.col("generation"))
+    _, scores = evalkit.evaluate(first, first.select("task_id", F.col("canonical_solution").alias("generation")), program, allow=True)
+    assert evalkit.report_lines(scores) == ["pass@1: 1.000", "solved: 3 of 3"]
+    other = problems.sample_function(spark)
+    program = evalkit.function_program(F.col("test_setup_code"), F.col("test_list"), F.col("generation"))
+    _, scores = evalkit.evaluate(other, other.select("task_id", F.col("code").alias("generation")), program, allow=True)
+    assert evalkit.report_lines(scores) == ["pass@1: 1.000", "solved: 3 of 3"]
+
+
+def test_languages_are_read_from_their_own_folders(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    ingest.write_partitioned(spark.createDataFrame([("a", "C"), ("b", "Go"), ("c", "C"), ("d", "SQL")], "blob_id string, language string"), path)
+    got = ingest.read_language(spark, path, "C", "SQL")
+    assert values(got, "blob_id") == [("a",), ("c",), ("d",)] and len(got.inputFiles()) >= 2
+    assert "PartitionFilters: [language" in got._jdf.queryExecution().toString()
+    assert ingest.read_language(spark, path).count() == 4 and ingest.read_language(spark, path, "Rust").count() == 0
+
+
+def test_texts_without_content_are_left_out(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"content": "x"}\n{"text": "y"}\n{"content": "", "text": ""}\n{"other": 1}\n')
+    assert values(jsonl.read_texts(spark, str(tmp_path / "a.jsonl")), "text") == [("x",), ("y",)]
