@@ -57,7 +57,7 @@ def link(messages: DataFrame) -> DataFrame:
     messages (conv_id, turn, text). Rows of one conv_id and turn are one message; null keys link with nothing.
     """
     rows = messages.dropna(subset=["conv_id", "turn"]).select("conv_id", "turn", F.explode(_passages(quoted_lines(F.coalesce("text", F.lit(""))))).alias("p"))
-    rows = rows.select("conv_id", "turn", "p.level", F.sha2("p.passage", 256).alias("hash"), F.length("p.passage").alias("size"))
+    rows = rows.select("conv_id", "turn", "p.level", F.unhex(F.sha2("p.passage", 256)).alias("hash"), F.length("p.passage").alias("size"))
     quotes = rows.filter("level > 0").distinct()
     originals = rows.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))  # one row a passage: its first author
     hits = quotes.join(originals, ["conv_id", "hash"]).filter("parent_turn < turn")
@@ -91,13 +91,18 @@ def conversations(messages: DataFrame) -> DataFrame:
     new = ("parent_turn", "root_turn", "depth", "path", "n_quoted", "clean_text", "formatted")
     kept = [c for c in messages.columns if c not in new]
     threads = thread(link(messages)).select(*(F.col(c).alias(f"_quote_{c}") for c in ("conv_id", "turn", "parent_turn", "root_turn", "depth", "path")))
-    rows = messages.select(*kept).withColumn("_quote_lines", quoted_lines(F.coalesce("text", F.lit(""))))
-    rows = rows.join(threads, (F.col("conv_id") == F.col("_quote_conv_id")) & (F.col("turn") == F.col("_quote_turn")), "left")
+    lines = quoted_lines(F.coalesce("text", F.lit("")))
+    rows = messages.select(*kept, lines.alias("_quote_lines"))
     clean = own_text(F.col("_quote_lines"))
+    # What the lines tell is settled before the join, which then moves no lines and, where none asks for it, no text.
+    rows = rows.select(
+        *kept, F.size(F.filter("_quote_lines", lambda x: x["level"] != 0)).cast("long").alias("n_quoted"), clean.alias("clean_text"),
+        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), clean).alias("formatted"),
+    )
+    rows = rows.join(threads, (F.col("conv_id") == F.col("_quote_conv_id")) & (F.col("turn") == F.col("_quote_turn")), "left")
     return rows.select(
         *kept, F.col("_quote_parent_turn").alias("parent_turn"), F.coalesce("_quote_root_turn", "turn").alias("root_turn"), F.coalesce("_quote_depth", F.lit(0)).cast("long").alias("depth"),
-        F.coalesce("_quote_path", F.array("turn")).alias("path"), F.size(F.filter("_quote_lines", lambda x: x["level"] != 0)).cast("long").alias("n_quoted"), clean.alias("clean_text"),
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), clean).alias("formatted"),
+        F.coalesce("_quote_path", F.array("turn")).alias("path"), "n_quoted", "clean_text", "formatted",
     )
 
 
@@ -107,13 +112,15 @@ def quoting(messages: DataFrame) -> DataFrame:
     Of four turns in a row, the second quotes the first, the third the second (and, one level deeper, the first), the fourth the
     second, each under an attribution line. Texts are joined by conversation and turn, so that no conversation meets in one task.
     """
-    said = messages.dropna(subset=["conv_id", "turn", "text"]).groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_of")).agg(F.min("text").alias("_said"))
     step = F.pmod(F.col("turn"), F.lit(4))
     mark = lambda c, sign: F.concat(F.lit(sign), F.replace(c, F.lit("\n"), F.lit(f"\n{sign}")), F.lit("\n"))
-    rows = messages
-    for k, back in (("near", F.when(step == 3, 2).when(step > 0, 1)), ("far", F.when(step == 2, 2))):
-        side = said.select(F.col("_conv").alias(f"_conv_{k}"), F.col("_of").alias(f"_of_{k}"), F.col("_said").alias(f"_said_{k}"))
-        rows = rows.join(side, (F.col("conv_id") == F.col(f"_conv_{k}")) & (F.col("turn") - back == F.col(f"_of_{k}")), "left")
+    # Each text goes to the turns that quote it, so that one exchange brings a turn all it needs.
+    to = lambda on, side: F.struct((F.col("turn") + on).alias("to"), F.lit(side).alias("side"))
+    turns = F.when(step == 0, F.array(to(1, "near"), to(2, "far"))).when(step == 1, F.array(to(1, "near"), to(2, "near")))
+    said = messages.dropna(subset=["conv_id", "turn", "text"]).select(F.col("conv_id").alias("_conv"), F.col("text").alias("_said"), F.explode(turns).alias("_t"))
+    side = lambda name: F.min(F.when(F.col("_t.side") == name, F.col("_said"))).alias(f"_said_{name}")
+    said = said.groupBy("_conv", F.col("_t.to").alias("_to")).agg(side("near"), side("far"))
+    rows = messages.join(said, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_to")), "left")
     far = F.coalesce(mark(F.col("_said_far"), ">> "), F.lit(""))
     text = F.when(F.col("_said_near").isNull(), F.col("text")).otherwise(F.concat(F.lit("Somebody wrote:\n"), far, mark(F.col("_said_near"), "> "), F.lit("\n"), F.coalesce("text", F.lit(""))))
     return rows.withColumn("text", text).select(*messages.columns)

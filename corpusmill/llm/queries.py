@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import chat_quotes, fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filters
-from corpusmill.llm.common import table
+from corpusmill.llm.common import table, written
 from corpusmill.llm.oracles import ORACLES
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -20,7 +20,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's conversations hold no quotes, so its turns are first written as mail threads write them."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    done = chat_quotes.conversations(chat_quotes.quoting(turns))
+    done = chat_quotes.conversations(written(chat_quotes.quoting(turns)))
     return done.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", F.array_join("path", "/").alias("path"), "n_quoted", "formatted")
 
 
