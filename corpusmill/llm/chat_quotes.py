@@ -21,7 +21,8 @@ _ATTRIBUTION = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\
 
 def quoted_lines(text: Column) -> Column:
     r"""array<struct<level: int, body: string>>, one a \n-split line; attribution lines right above a deeper quote have level -1."""
-    lines = F.transform(F.split(text, "\n", -1), lambda s: F.struct(F.length(F.regexp_replace(F.regexp_extract(s, _MARK, 0), "[^>]", "")).alias("level"), F.regexp_replace(s, _MARK, "").alias("body")))
+    marked = lambda s: F.struct(F.length(F.regexp_replace(F.regexp_extract(s, _MARK, 0), "[^>]", "")).alias("level"), F.regexp_replace(s, _MARK, "").alias("body"))
+    lines = F.transform(F.split(text, "\n", -1), lambda s: F.when(F.contains(s, F.lit(">")), marked(s)).otherwise(F.struct(F.lit(0).alias("level"), s.alias("body"))))
 
     def attributed(x: Column, i: Column, every: Column) -> Column:
         below = F.get(every, i + 1)
@@ -36,13 +37,21 @@ def normalised(s: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """array<struct<level, passage>> of every line, block and whole level, blank ones left out, each once."""
-    levels = F.array_distinct(F.filter(F.transform(lines, lambda x: x["level"]), lambda n: n >= 0))
-    single = F.transform(F.filter(lines, lambda x: x["level"] >= 0), lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("passage")))
-    whole = F.transform(levels, lambda n: F.struct(n.alias("level"), normalised(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == n), lambda x: x["body"]), "\n")).alias("passage")))
-    # What is not of a level, or blank, becomes a sign of its own, at which the level is cut.
-    cut = lambda n: F.split(F.array_join(F.transform(lines, lambda x: F.when((x["level"] == n) & (normalised(x["body"]) != ""), x["body"]).otherwise(F.lit("\x01"))), "\n"), "\x01")
-    blocks = F.flatten(F.transform(levels, lambda n: F.transform(cut(n), lambda x: F.struct(n.alias("level"), normalised(x).alias("passage")))))
-    return F.array_distinct(F.filter(F.concat(single, blocks, whole), lambda x: x["passage"] != ""))
+    plain = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("passage")))
+
+    def longer(lines: Column) -> Column:
+        """The blocks and the whole of each level of several lines: put together from normalised lines, they are normalised but for their ends."""
+        said = F.filter(lines, lambda x: (x["level"] >= 0) & (x["passage"] != ""))
+        levels = F.filter(F.array_distinct(F.transform(said, lambda x: x["level"])), lambda n: F.size(F.filter(said, lambda x: x["level"] == n)) > 1)
+        whole = F.transform(levels, lambda n: F.struct(n.alias("level"), F.array_join(F.transform(F.filter(said, lambda x: x["level"] == n), lambda x: x["passage"]), " ").alias("passage")))
+        # What is not of a level, or blank, becomes a sign of its own, at which the level is cut.
+        cut = lambda n: F.split(F.array_join(F.transform(lines, lambda x: F.when((x["level"] == n) & (x["passage"] != ""), x["passage"]).otherwise(F.lit("\x01"))), " "), "\x01")
+        blocks = F.flatten(F.transform(levels, lambda n: F.transform(cut(n), lambda x: F.struct(n.alias("level"), F.trim(x).alias("passage")))))
+        return F.concat(lines, blocks, whole)
+
+    # An array of one lets the lines be worked out once.
+    every = F.element_at(F.transform(F.array(plain), longer), 1)
+    return F.array_distinct(F.filter(every, lambda x: (x["level"] >= 0) & (x["passage"] != "")))
 
 
 def own_text(lines: Column) -> Column:
