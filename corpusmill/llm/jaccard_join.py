@@ -229,14 +229,17 @@ def links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int, copies:
     alike, every pair counts."""
     m, size = len(sets), np.array([len(s) for s in sets])
     every = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
+    kind = np.int32 if len(every) < 2**31 else np.int64  # a block is what a task holds: short numbers, and nothing longer than it is needed
     order = np.argsort(every, kind="stable")
-    new = np.concatenate(([True], every[order][1:] != every[order][:-1]))
-    start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(every)))
-    word = np.empty(len(every), np.int64)
-    word[order] = np.cumsum(new) - 1
-    posted = owner[order]
+    every = every[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    del every
+    word = np.empty(len(order), kind)
+    word[order] = np.cumsum(new, dtype=kind) - 1
+    posted = np.repeat(np.arange(m, dtype=kind), size)[order]
+    del order
+    start = np.flatnonzero(new).astype(kind)
+    count = np.diff(np.append(start, kind(len(new))))
     parent = list(range(m))
 
     def root(i: int) -> int:
@@ -361,7 +364,8 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = D
     dealt = elements.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of.parts") - 1)))
     dealt = dealt.select(F.xxhash64("of.component", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "elements", (F.col("own") > F.col("other")).alias("side"), "of.copies")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = written(dealt.repartition(n, "block").sortWithinPartitions("block", "node").mapInArrow(_verify(num, den), "u long, v long, n long"))
+    found = dealt.repartition(n, "block").sortWithinPartitions("block", "node").mapInArrow(_verify(num, den), "u long, v long, n long")
+    found = written(found.hint("rebalance"))  # few rows of many tasks: files by size, not one a task
     degrees = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     return members, found.filter("v is not null").select("u", "v"), degrees
 

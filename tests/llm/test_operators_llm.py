@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -738,6 +739,35 @@ def test_jaccard_join(spark, monkeypatch, block, elements, broadcast):
     assert jaccard_join.linked(table(spark, [])).count() == 0
 
 
+def test_jaccard_links_hold_little():
+    rng = np.random.default_rng(13)
+    base, sets = rng.integers(0, 2**64, 5000, dtype=np.uint64), []
+    for _ in range(80):
+        s, n = base.copy(), int(rng.integers(40, 200))  # some pairs above the threshold, some below
+        s[rng.integers(0, len(s), n)] = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets.append(np.unique(s))
+    copies = rng.integers(1, 5, len(sets))
+    for left in (np.zeros(len(sets), bool), np.arange(len(sets)) % 2 == 0):
+        tracemalloc.start()
+        found, degree = jaccard_join.links(sets, left, 90, 100, copies)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        alike = np.array([[100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)) for b in sets] for a in sets]) & ~np.eye(len(sets), dtype=bool)
+        if left.any():
+            alike &= left[:, None] != left[None, :]
+        assert degree.tolist() == (alike * copies).sum(1).tolist() and 0 < alike.sum() < 0.9 * alike.size
+        assert all(alike[u, v] for u, v in found)
+        assert peak < 40 * sum(map(len, sets))
+
+
+def test_jaccard_links_in_few_files(spark):
+    words = [[f"w{i}x{j}" for j in range(60)] for i in range(80)]
+    rows = [(2 * i + k, " ".join(w[k:]), "en", "s") for i, w in enumerate(words) for k in (0, 1)]
+    _, found, degrees = jaccard_join.join(table(spark, rows))
+    assert (found.count(), degrees.count()) == (80, 160)
+    assert len(found.inputFiles()) == 1
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(12)
     for _ in range(400):
