@@ -238,6 +238,16 @@ def test_line_dedup_counts_documents(spark):
     assert line_dedup.dedup(table(spark, numbers)).filter("n_dropped > 0").count() == 0
 
 
+def test_line_dedup_takes_apart_lines_of_templates_alone(spark, monkeypatch):
+    """A leaf that fewer documents reach than a template needs is not counted word by word; passages in it are dropped all the same."""
+    passage, taken, enough = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), [], line_dedup._enough
+    monkeypatch.setattr(line_dedup, "_enough", lambda rows, keys, *a: (taken.append(rows.count()) if "word" in keys else None, enough(rows, keys, *a))[1])
+    rows = [(i, f"user {x} has logged in" + f"\n{passage}" * (i < 4), "en", "s") for i, x in enumerate(("7", "8", "9", "10", "11"))]
+    expected = [(0, rows[0][1])] + [(i, "") for i in range(1, 5)]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup(table(spark, rows)).collect()) == expected == sorted(brute_lines(rows))
+    assert taken == [4]  # the unmasked words of one line, not the 60 of the passage
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_by_brute_force(spark, seed):
     rng = random.Random(seed)
