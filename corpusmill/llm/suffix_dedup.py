@@ -347,7 +347,7 @@ def _items(docs: DataFrame, least: int, seed: int, block: int, led: bool) -> tup
     spark = docs.sparkSession
     keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("node", F.xxhash64("text"))
     rows = keyed.select("node", "text")
-    named = written(rows.mapInArrow(_name(least, seed), "name long, node long, start int, size int, seeds int"))
+    named = written(rows.mapInArrow(_name(least, seed), "name long, node long, start int, size int, seeds int"), gather=True)
     twice = named.groupBy("name").agg(F.sum("seeds").alias("n")).filter("n > 1").select("name")
     wanted = named.join(twice, "name").groupBy("node").agg(F.collect_set(F.struct("start", "size", "name")).alias("wanted"))  # bounded by the length of a text
     cut = written(rows.join(wanted, "node").select("node", "text", "wanted").mapInArrow(_cut(led), _CUT))

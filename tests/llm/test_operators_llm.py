@@ -8,6 +8,7 @@ import re
 import struct
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import chat_quotes, fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, suffix_dedup, toxicity, url_filters
 from corpusmill.llm.queries import RULES
+from corpusmill.sources import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -149,6 +151,15 @@ def brute_repeats(rows, least):
     return {(w, frozenset((i, p) for i, x in raw for p in range(len(x) - len(w) + 1) if x[p : p + len(w)] == w)) for w in found}
 
 
+def test_suffix_dedup_scratch_files(spark):
+    """Scratch tables have a file a core, not one a partition, and rows do not depend on partitions."""
+    docs = table(spark, corpus()).select("doc_id", "text")
+    top = Path(re.sub("^file:/*", "/", scratch.scratch_dir(spark)))
+    before, rows = set(top.glob("*")), [sorted(map(repr, suffix_dedup.dedup(docs.repartition(n)).collect())) for n in (24, 1)]
+    assert rows[0] == rows[1]
+    assert max(len(list(d.glob("*.parquet"))) for d in set(top.glob("*")) - before) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize(("block", "klass"), [(suffix_dedup.BLOCK, suffix_dedup.CLASS), (60, suffix_dedup.CLASS), (60, 700)])
 def test_repeats_are_all_maximal_groups(spark, block, klass):
     rng = random.Random(4)
